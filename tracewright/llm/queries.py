@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm.line_dedup import line_dedup
+from tracewright.llm.secret_scan import secret_scan
 from tracewright.llm.simhash import simhash_components
 from tracewright.llm.substring_dedup import substring_dedup
 from tracewright.llm.suffix_dedup import suffix_dedup
@@ -26,15 +28,27 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup(_table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix_dedup(_table(spark, sf_dir, "documents"), length=50)
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secret_scan(_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 SQL: dict[str, str] = {}
