@@ -69,7 +69,7 @@ class _Part:
             h = A.rolling(self.hash, size)
             mine = A.leftmost_min(h, self.window - size + 1)[at]
             spot, back = np.unique(mine, return_inverse=True)
-            a, b = h[spot], None
+            a, b = A.mix(h[spot]), None  # least hashes are small ones; mixed, they fill all buckets alike
         else:
             back = None
             a = A.rolling(self.hash, size)[at]

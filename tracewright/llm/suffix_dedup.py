@@ -89,7 +89,7 @@ class _Part:
             first = np.flatnonzero(new)
             self.start = self.window[first]
             self.size = np.diff(np.r_[first, len(mine)]) + length - 1
-            self.key = h[mine[first]]
+            self.key = A.mix(h[mine[first]])  # least hashes are small ones; mixed, they fill all buckets alike
             self.around = A.mix(h[self.start]) ^ h[self.start + self.size - self.gram]
             self.doc = np.searchsorted(self.off, self.start, "right") - 1
         else:
