@@ -116,24 +116,93 @@ def rolling(h: np.ndarray, size: int, base: int = BASE) -> np.ndarray:
     return mix(done[:n] + U64(size))
 
 
+#: Values that stay in a core's cache.
+CHUNK = 1 << 15
+PLACE = U64(0xFFFF)
+
+
 def leftmost_min(h: np.ndarray, count: int) -> np.ndarray:
-    """Index of the leftmost least value among each `count` consecutive ones, by doubling."""
+    """Index of the leftmost least value (by its upper 48 bits) among each `count` consecutive ones, by doubling.
+
+    The place in a chunk takes the lower 16 bits, so that one minimum finds value and place.
+    """
     n = len(h) - count + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, at, width = h, np.arange(len(h), dtype=np.int32 if len(h) < 2**31 else np.int64), 1
-
-    def join(best, at, shift, size):
-        a, b, i, j = best[:size], best[shift : shift + size], at[:size], at[shift : shift + size]
-        right = b < a
-        return np.where(right, b, a), np.where(right, j, i)
-
-    while width * 2 <= count:
-        best, at = join(best, at, width, len(best) - width)
-        width *= 2
-    if width < count:
-        best, at = join(best, at, count - width, n)
-    return at[:n]
+    if count > CHUNK:
+        raise ValueError(f"at most {CHUNK} values can be compared")
+    out = np.empty(n, np.int64)
+    place = np.arange(CHUNK + count, dtype=U64)
+    for a in range(0, n, CHUNK):
+        m = min(CHUNK, n - a)
+        best = h[a : a + m + count - 1] & ~PLACE
+        best |= place[: len(best)]
+        width = 1
+        while width * 2 <= count:
+            best = np.minimum(best[:-width], best[width:])
+            width *= 2
+        if width < count:
+            best = np.minimum(best[:m], best[count - width : count - width + m])
+        out[a : a + m] = (best[:m] & PLACE).astype(np.int64)
+        out[a : a + m] += a
+    return out
+
+
+def rolling_bytes(buf: np.ndarray, size: int) -> np.ndarray:
+    """rolling() over the table's values of bytes, a chunk at a time."""
+    n = len(buf) - size + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    out = np.empty(n, U64)
+    for a in range(0, n, CHUNK):
+        m = min(CHUNK, n - a)
+        out[a : a + m] = rolling(TABLE[buf[a : a + m + size - 1]], size)
+    return out
+
+
+def packed_rows(buf: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Segments as rows of 64-bit words: two bytes of length, the bytes, zeros to the end."""
+    cells = -(-(width + 2) // 8)
+    out = np.zeros((len(start), cells * 8), np.uint8)
+    if len(start):
+        place, step = np.arange(width), max(1, (1 << 21) // width)
+        for a in range(0, len(start), step):
+            s, n = start[a : a + step, None], size[a : a + step, None]
+            out[a : a + step, 2 : 2 + width] = buf[np.minimum(s + place, len(buf) - 1)] * (place < n)
+        out[:, 0], out[:, 1] = size >> 8, size & 255
+    return out.view(U64)
+
+
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(rows), U64)
+    for k in range(rows.shape[1]):
+        h = (h ^ rows[:, k]) * U64(BASE)
+        h ^= h >> U64(29)
+    return mix(h)
+
+
+def distinct_rows(rows: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts rows by group and puts equal rows together, and for each place in it whether a new distinct (group, row) begins.
+
+    group: less than 2**bits. Rows are ordered by hash; where two differ under one hash, by their bytes.
+    """
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, dtype=bool)
+    key = (group.astype(U64) << U64(64 - bits)) | (row_hashes(rows) >> U64(bits)) if bits else row_hashes(rows)
+    order = np.argsort(key)
+
+    def fresh(order):
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        same = np.flatnonzero(~new)
+        return new, same, (rows[order[same]] == rows[order[same - 1]]).all(axis=1)
+
+    new, same, equal = fresh(order)
+    if not equal.all():
+        order = np.lexsort([*(rows[:, k] for k in range(rows.shape[1])), key])
+        new, same, equal = fresh(order)
+        new[same] = ~equal
+    return order, new
 
 
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:

@@ -32,40 +32,36 @@ GRAM = 20
 MANY = 4
 
 
-def longest_previous(suffixes: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def longest_previous(text: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order and longest previous factor, both cut at `length` bytes.
 
-    suffixes: byte strings of that length. Returns for each the least document among those
-    whose factor reaches it (its own if none is earlier), and the factor: `length` where an
-    earlier document has the same bytes, else less (given as 0, as no more is needed).
+    The suffixes begin in text at the places `at`. Returns for each the least document among
+    those whose factor reaches it (its own if none is earlier), and the factor: `length` where
+    an earlier document has the same bytes, else less (given as 0, as no more is needed). A
+    suffix whose hash is alone has no equal, so only the others are put in order.
     """
-    order = np.argsort(doc, kind="stable")
-    order = order[np.argsort(suffixes[order], kind="stable")]
-    text, mine = suffixes[order], doc[order]
-    if not len(text):
-        return doc, np.zeros(0, np.int64)
-    new = np.ones(len(text), dtype=bool)
-    new[1:] = text[1:] != text[:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(text)), 0))
-    least, factor = np.empty_like(doc), np.zeros(len(doc), np.int64)
-    least[order] = mine[head]
-    factor[order] = np.where(mine[head] < mine, length, 0)
+    least, factor = doc.copy(), np.zeros(len(doc), np.int64)
+    if not len(doc):
+        return least, factor
+    h = A.rolling_bytes(text, length)[at]
+    order = np.argsort(h)
+    new = np.ones(len(h) + 1, dtype=bool)
+    new[1:-1] = h[order][1:] != h[order][:-1]
+    met = order[~(new[:-1] & new[1:])]
+    if not len(met):
+        return least, factor
+    met = met[np.argsort(doc[met], kind="stable")]
+    suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[at[met]]).view(f"S{length}").ravel()
+    order = np.argsort(suffix, kind="stable")
+    suffix, mine = suffix[order], doc[met][order]
+    new = np.ones(len(suffix), dtype=bool)
+    new[1:] = suffix[1:] != suffix[:-1]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(suffix)), 0))
+    least[met[order]] = mine[head]
+    factor[met[order]] = np.where(mine[head] < mine, length, 0)
     return least, factor
 
 
-def _rows(buf: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """Segments as fixed-width strings: two bytes of length, then the bytes, filled with zeros."""
-    place = np.arange(width)
-    out = np.zeros((len(start), width + 2), np.uint8)
-    step = 1 << 16
-    for a in range(0, len(start), step):
-        s, n = start[a : a + step, None], size[a : a + step, None]
-        at = np.minimum(s + place, len(buf) - 1)
-        out[a : a + step, 2:] = np.where(place < n, buf[at], 0)
-    out[:, 0], out[:, 1] = size >> 8, size & 255
-    return out.view(f"S{width + 2}").ravel()
-
-
 class _Part:
     def __init__(self, table: pa.Table, length: int):
         self.length = length
@@ -82,7 +78,7 @@ class _Part:
             np.add.at(bad, cut, -1)
             inside = np.cumsum(bad[:-1]) == 0
             self.window = np.flatnonzero(inside[:n])
-            h = A.rolling(A.TABLE[self.buf], self.gram)
+            h = A.rolling_bytes(self.buf, self.gram)
             mine = A.leftmost_min(h, length - self.gram + 1)[self.window]
             new = np.ones(len(mine), dtype=bool)
             new[1:] = (mine[1:] != mine[:-1]) | (self.window[1:] != self.window[:-1] + 1)
@@ -97,21 +93,26 @@ class _Part:
             self.key = self.around = np.zeros(0, A.U64)
         self.owner = self.id[self.doc]
 
-    def keys(self):
-        """Distinct witnesses; whether two documents of this part hold each; whether with many surroundings; each segment's witness."""
+    def keys(self, surroundings: bool = False):
+        """Distinct witnesses; whether two documents of this part hold each; whether with many surroundings (if asked); each segment's witness."""
         if not len(self.key):
             none = np.zeros(0, dtype=bool)
             return self.key, none, none, np.zeros(0, np.int64)
-        order = np.lexsort((self.around, self.key))
-        key, around, owner = self.key[order], self.around[order], self.owner[order]
+        order = np.argsort(self.key)
+        key, owner = self.key[order], self.owner[order]
         new = np.ones(len(key), dtype=bool)
         new[1:] = key[1:] != key[:-1]
         head, group = np.flatnonzero(new), np.cumsum(new) - 1
-        more = np.r_[True, (around[1:] != around[:-1]) | new[1:]]
         of = np.empty(len(key), np.int64)
         of[order] = group
         several = np.minimum.reduceat(owner, head) < np.maximum.reduceat(owner, head)
-        return key[head], several, np.add.reduceat(more.astype(np.int64), head) > MANY, of
+        many = np.zeros(len(head), dtype=bool)
+        if surroundings:
+            often = np.flatnonzero((np.diff(np.r_[head, len(key)]) > MANY)[group])
+            if len(often):
+                pair = np.unique(np.stack([group[often].astype(A.U64), self.around[order[often]]]), axis=1)[0].astype(np.int64)
+                many = np.bincount(pair, minlength=len(head)) > MANY
+        return key[head], several, many, of
 
     def segments(self, got: dict, buckets: int):
         """What is sent: distinct segments sorted by bucket with their least owner; and for each kept segment its place there, start and owner."""
@@ -125,28 +126,27 @@ class _Part:
             n = self.size[split] - self.length + 1
             head = np.cumsum(n) - n
             s = np.repeat(self.start[split], n) + np.arange(int(n.sum())) - np.repeat(head, n)
-            h = A.rolling(A.TABLE[self.buf], self.length)[s]
+            h = A.rolling_bytes(self.buf, self.length)[s]
             start, size = np.r_[start, s], np.r_[size, np.full(len(s), self.length)]
             where, owner = np.r_[where, R.bucket_of(h, buckets)], np.r_[owner, np.repeat(self.owner[split], n)]
-        rows = _rows(self.buf, start, size, 2 * self.length - self.gram) if len(start) else np.zeros(0, f"S{2 * self.length - self.gram + 2}")
-        order = np.argsort(rows, kind="stable")
-        order = order[np.argsort(where[order], kind="stable")]
-        sorted_rows, sorted_where = rows[order], where[order]
-        new = np.ones(len(rows), dtype=bool)
-        new[1:] = (sorted_rows[1:] != sorted_rows[:-1]) | (sorted_where[1:] != sorted_where[:-1])
+        rows = A.packed_rows(self.buf, start, size, 2 * self.length - self.gram)
+        order, new = A.distinct_rows(rows, where, max(1, buckets.bit_length()))
         head, place = np.flatnonzero(new), np.empty(len(rows), np.int64)
         place[order] = np.cumsum(new) - 1
         least = np.minimum.reduceat(owner[order], head) if len(head) else owner
-        return sorted_rows[head], sorted_where[head], least, place, start, size, owner
+        return rows[order[head]], where[order[head]], least, place, start, size, owner
+
+
+def _sizes(rows: np.ndarray) -> np.ndarray:
+    flat = rows.view(np.uint8)
+    return (flat[:, 0].astype(np.int64) << 8) | flat[:, 1]
 
 
-def _pack(rows: np.ndarray, least: np.ndarray) -> bytes:
-    """Segments and owners of one bucket, compressed: count, lengths, owners, bytes."""
-    width = rows.dtype.itemsize - 2
-    flat = rows.view(np.uint8).reshape(len(rows), width + 2)
-    size = (flat[:, 0].astype(np.uint16) << 8) | flat[:, 1]
-    data = flat[:, 2:][np.arange(width) < size[:, None]]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join((np.uint32(len(rows)).tobytes(), np.uint32(width).tobytes(), size.tobytes(), least.astype(np.int64).tobytes(), data.tobytes())))
+def _pack(rows: np.ndarray, least: np.ndarray, width: int) -> bytes:
+    """Segments and owners of one bucket, compressed: count, width, lengths, owners, bytes."""
+    size = _sizes(rows)
+    data = rows.view(np.uint8)[:, 2 : 2 + width][np.arange(width) < size[:, None]]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join((np.uint32(len(rows)).tobytes(), np.uint32(width).tobytes(), size.astype(np.uint16).tobytes(), least.astype(np.int64).tobytes(), data.tobytes())))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +154,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, width = (int(x) for x in raw[:8].view(np.uint32))
     size = raw[8 : 8 + 2 * n].view(np.uint16).astype(np.int64)
     least = raw[8 + 2 * n : 8 + 10 * n].copy().view(np.int64)
-    data = raw[8 + 10 * n :]
-    return _rows(data, np.cumsum(size) - size, size, width), least
+    return A.packed_rows(raw[8 + 10 * n :], np.cumsum(size) - size, size, width), least
 
 
 def answer_keys(table: pa.Table) -> pa.Table:
@@ -183,22 +182,14 @@ def answer_segments(length: int):
         count = [len(x) for x, _ in sent]
         rows, least = np.concatenate([x for x, _ in sent]), np.concatenate([y for _, y in sent])
         # equal segments of several parts stand once, with their least owner
-        order = np.argsort(least, kind="stable")
-        order = order[np.argsort(rows[order], kind="stable")]
-        new = np.ones(len(rows), dtype=bool)
-        new[1:] = rows[order][1:] != rows[order][:-1]
+        order, new = A.distinct_rows(rows, np.zeros(len(rows), np.int64), 0)
         head, place = np.flatnonzero(new), np.empty(len(rows), np.int64)
         place[order] = np.cumsum(new) - 1
-        single, owner = rows[order][head], least[order][head]
-        width = rows.dtype.itemsize
-        flat = single.view(np.uint8).reshape(len(single), width)
-        size = (flat[:, 0].astype(np.int64) << 8) | flat[:, 1]
-        n = size - length + 1
+        single, owner = rows[order[head]], np.minimum.reduceat(least[order], head)
+        n = _sizes(single) - length + 1
         first = np.cumsum(n) - n
-        at = np.repeat(np.arange(len(single)) * width + 2, n) + np.arange(int(n.sum())) - np.repeat(first, n)
-        view = np.lib.stride_tricks.sliding_window_view(flat.ravel(), length)
-        suffixes = np.ascontiguousarray(view[at]).view(f"S{length}").ravel()
-        earliest, _ = longest_previous(suffixes, np.repeat(owner, n), length)
+        at = np.repeat(np.arange(len(single)) * single.shape[1] * 8 + 2, n) + np.arange(int(n.sum())) - np.repeat(first, n)
+        earliest, _ = longest_previous(single.view(np.uint8).ravel(), at, np.repeat(owner, n), length)
         # each part's segment against its own least owner
         per = n[place]
         head2 = np.cumsum(per) - per
@@ -231,7 +222,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     dealt = R.deal(texts, F.coalesce("doc_id", F.xxhash64("text")), parts)
 
     def first(table: pa.Table) -> pa.Table:
-        key, _, many, _ = _Part(table, length).keys()
+        key, _, many, _ = _Part(table, length).keys(surroundings=True)
         mine = table["part"][0].as_py()
         return R.messages([(mine, 0, k, np.uint32(j - i).tobytes() + key[i:j].tobytes() + np.packbits(many[i:j]).tobytes()) for k, i, j in R.spans_of(R.bucket_of(key, buckets))])
 
@@ -240,7 +231,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             return R.messages([])
         rows, where, least, *_ = _Part(table, length).segments(R.replies(heard), buckets)
         mine = table["part"][0].as_py()
-        return R.messages([(mine, 1, k, _pack(rows[i:j], least[i:j])) for k, i, j in R.spans_of(where)])
+        return R.messages([(mine, 1, k, _pack(rows[i:j], least[i:j], 2 * length - min(GRAM, length))) for k, i, j in R.spans_of(where)])
 
     def last(table: pa.Table, heard: pa.Table) -> pa.Table:
         part, got = _Part(table, length), R.replies(heard)
@@ -248,8 +239,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         n = len(part.buf)
         gone = np.zeros(n, dtype=bool)
         if len(rows):
-            flat = rows.view(np.uint8).reshape(len(rows), -1)
-            per = ((flat[:, 0].astype(np.int64) << 8) | flat[:, 1]) - length + 1
+            per = _sizes(rows) - length + 1
             head = np.cumsum(per) - per
             earlier = np.zeros(int(per.sum()), dtype=bool)
             for k, i, j in R.spans_of(where):
