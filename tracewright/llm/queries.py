@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm.bpe import bpe_encode
 from tracewright.llm.line_dedup import line_dedup
 from tracewright.llm.secret_scan import secret_scan
 from tracewright.llm.simhash import simhash_components
@@ -33,6 +34,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The text of a public tokenizer's file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = bpe_encode(_table(spark, sf_dir, "documents"), vocabulary())
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix_dedup(_table(spark, sf_dir, "documents"), length=50)
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -47,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_bpe": op6_bpe,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_secret_scan": op9_secret_scan,
 }
