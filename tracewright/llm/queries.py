@@ -13,6 +13,7 @@ from tracewright.llm.secret_scan import secret_scan
 from tracewright.llm.simhash import simhash_components
 from tracewright.llm.substring_dedup import substring_dedup
 from tracewright.llm.suffix_dedup import suffix_dedup
+from tracewright.llm.topk_search import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secret_scan(_table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_bpe": op6_bpe,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_topk_search": op8_topk_search,
     "op9_secret_scan": op9_secret_scan,
 }
 
