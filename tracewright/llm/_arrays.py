@@ -76,6 +76,33 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
+#: ASCII characters that are no letter, digit or white space.
+MARK = np.zeros(256, dtype=bool)
+MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def bare(raw: np.ndarray, start: np.ndarray, end: np.ndarray, depth: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Words without up to `depth` marks at either end."""
+    s, e = start.copy(), end.copy()
+    if len(raw):
+        for _ in range(depth):
+            s += (e > s) & MARK[raw[np.minimum(s, len(raw) - 1)]]
+            e -= (e > s) & MARK[raw[np.maximum(e - 1, 0)]]
+    return s, e
+
+
+def slices(batch: pa.RecordBatch, name: str, most: int):
+    """The batch in slices of about `most` bytes of the named text column, one row at least."""
+    at, texts = 0, batch.column(batch.schema.get_field_index(name))
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(size)
+    while at < batch.num_rows:
+        done = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, done + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
     if not len(start):

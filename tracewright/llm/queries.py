@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.bpe import bpe_encode
+from tracewright.llm.decontaminate import find_leaks
 from tracewright.llm.line_dedup import line_dedup
+from tracewright.llm.quality import quality_filter
 from tracewright.llm.secret_scan import secret_scan
 from tracewright.llm.simhash import simhash_components
 from tracewright.llm.substring_dedup import substring_dedup
@@ -30,6 +32,11 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks: one row a document and benchmark item."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_dedup(_table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -63,14 +70,27 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """Ratings of 0, 1 and 2: a point for good quality, a point for no toxicity."""
+    return labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier selects."""
+    got = quality_filter(_table(spark, sf_dir, "documents"), graded(_table(spark, sf_dir, "labels")))
+    return got.select("doc_id", "expected_grade", "p_level")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op6_bpe": op6_bpe,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_topk_search": op8_topk_search,
     "op9_secret_scan": op9_secret_scan,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 SQL: dict[str, str] = {}
