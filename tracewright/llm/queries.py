@@ -16,6 +16,7 @@ from tracewright.llm.simhash import simhash_components
 from tracewright.llm.substring_dedup import substring_dedup
 from tracewright.llm.suffix_dedup import suffix_dedup
 from tracewright.llm.topk_search import top_k
+from tracewright.llm.url_filter import rule, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+URL_RULES = (rule("block", "com/en/"), rule("allow", "example.com/en/7"), rule("allow", "net/de/"), rule("block", "example.net/de/8"), rule("block", "org/es/"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_components(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
@@ -83,6 +91,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_url_filter": op2_url_filter,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
