@@ -1,13 +1,80 @@
-"""A training-data pipeline over `documents`; counted as part of the subpackage tracewright.llm."""
+"""A training-data pipeline over `documents`; counted as part of the subpackage tracewright.llm.
+
+Each stage takes (spark, docs, sf_dir) and calls one operator on all that its predecessor
+kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracewright.llm._links import table_folder
+from tracewright.llm.bpe import bpe_encode
+from tracewright.llm.decontaminate import decontaminate
+from tracewright.llm.line_dedup import line_dedup
+from tracewright.llm.quality import quality_filter
+from tracewright.llm.queries import graded, vocabulary
+from tracewright.llm.simhash import near_duplicates
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: the documents that the classifier, fitted on this input's rated documents, selects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_filter(docs, graded(labels)).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: lines that three documents or more hold stay in the one with the largest id; n_chars follows."""
+    got = line_dedup(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
+    kind = docs.schema["n_chars"].dataType
+    return got.withColumn("n_chars", F.char_length("text").cast(kind)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: of each group of near-duplicates the document with the smallest id stays, and of its equal rows one.
+
+    Groups are texts linked by a similarity of 0.8 or more on five-word shingles; rows without an id stay.
+    """
+    groups = near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id")
+    met = docs.join(groups, F.col("doc_id") == F.col("_id"), "left").where("component_id is null or component_id = doc_id")
+    twin = F.row_number().over(Window.partitionBy("doc_id", "_twin").orderBy("_twin"))
+    told = met.withColumn("_twin", F.xxhash64("text")).withColumn("_place", twin).where("doc_id is null or _place = 1")
+    return told.select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that hold an item of the benchmark go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: doc_id, n_tokens, ids (packed) and the hash of the decoded text."""
+    got = bpe_encode(docs, vocabulary()).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return got.select("doc_id", "n_tokens", "ids", "decoded_sha256")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_lines),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_leaks),
+    ("BPE encoding and decoding", encode),
+]
+
+#: SQL has no classifier, XXH64 or BPE; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; each one's result is written as Parquet beside the checkpoints and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = table_folder(spark, f"pipeline-{k}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
