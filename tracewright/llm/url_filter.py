@@ -11,6 +11,8 @@ Explicit rules on host and path come first; the longest rule that fits decides.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -101,6 +103,23 @@ class Markov:
     total: np.ndarray
     kinds: np.ndarray
 
+    def packed(self) -> bytes:
+        """The slots in use, compressed."""
+        out = []
+        for table in (self.pair, self.total, self.kinds):
+            at = np.flatnonzero(table)
+            out.append((at.astype(np.int32), table.ravel()[at]))
+        return zlib.compress(pickle.dumps(out), 1)
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Markov:
+        tables = []
+        for at, values in pickle.loads(zlib.decompress(blob)):  # noqa: S301  our own broadcast
+            table = np.zeros((ORDER + 1) * SLOTS, np.float64)
+            table[at] = values
+            tables.append(table.reshape(ORDER + 1, SLOTS))
+        return cls(*tables)
+
     def log_likelihood(self, slots: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         p = np.full(len(slots[0][0]), 1 / 256)
         for order, (context, pair) in enumerate(slots):
@@ -146,12 +165,12 @@ def _model(counts: DataFrame, rejected: bool) -> Markov:
 
 def _measured(urls: DataFrame, accepted: Markov, rejected: Markov) -> DataFrame:
     """urls with measure: (log P(accepted) - log P(rejected)) / characters; 0 for no characters."""
-    # two models of fixed size: 6 orders, 2**18 slots, 3 tables
-    shared = urls.sparkSession.sparkContext.broadcast((accepted, rejected))
+    # two models of bounded size: at most 6 orders, 2**18 slots and 3 tables, of which the slots in use are sent
+    shared = urls.sparkSession.sparkContext.broadcast((accepted.packed(), rejected.packed()))
     names = urls.columns
 
     def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = shared.value
+        good, bad = map(Markov.unpacked, shared.value)
         for batch in batches:
             buf, off = _text(batch.column(names.index("host")), batch.column(names.index("path")))
             out = np.zeros(batch.num_rows)
