@@ -35,7 +35,7 @@ NOT_NUMBERS = "\\U00011de0-\\U00011de9\\U0001246f\\U00012475-\\U0001247f\\U00012
 NO_RANK = np.iinfo(np.int64).max
 #: Pieces up to this many bytes are worked in rows together, and are kept.
 SHORT = 48
-KEEP = 1 << 20
+KEEP = 1 << 19
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,6 +54,11 @@ def latin(text: str) -> bool:
     return True
 
 
+def kept_before(kept: dict[str, bytes], cut: list[list], new: set[str]) -> dict[str, bytes]:
+    """What is kept of the pieces of these texts, before it is given up for new ones."""
+    return {x: kept[x] for parts in cut for part in parts if not isinstance(part, int) for x in part if x not in new}
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file (the tokenizers library's JSON of a byte-level BPE)."""
 
@@ -95,7 +100,7 @@ class Codec:
         self.pair, first = np.unique(pair, return_index=True)
         self.rank, self.made = first.astype(np.int64), np.array(made, np.int64)[first]
         self.rank_of = {int(p): (int(r), int(m)) for p, r, m in zip(self.pair, self.rank, self.made, strict=True)}
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (NO_RANK if none) and the token that it makes; -1 is no part."""
@@ -106,8 +111,8 @@ class Codec:
         hit = (self.pair[at] == key) & (a >= 0) & (b >= 0)
         return np.where(hit, self.rank[at], NO_RANK), self.made[at]
 
-    def merge_rows(self, part: np.ndarray) -> list[tuple[int, ...]]:
-        """Merges rows of equally many parts, all rows a step at a time."""
+    def merge_rows(self, part: np.ndarray) -> list[bytes]:
+        """Packed tokens of rows of equally many parts, all rows a step at a time."""
         n, width = part.shape
         part = part.copy()
         size = np.full(n, width)
@@ -139,9 +144,10 @@ class Codec:
                 ok = (i >= 0) & (i + 1 < size[live])
                 rows, i = live[ok], i[ok]
                 rank[rows, i], made[rows, i] = self._ranks(part[rows, i], part[rows, i + 1])
-        return [tuple(p[:k]) for p, k in zip(part.tolist(), size.tolist(), strict=True)]
+        flat, width = part.astype("<u4").tobytes(), 4 * width
+        return [flat[i * width : i * width + 4 * k] for i, k in enumerate(size.tolist())]
 
-    def merge_long(self, data: bytes) -> tuple[int, ...]:
+    def merge_long(self, data: bytes) -> bytes:
         """One long piece: the same merges, with a heap in place of the scan."""
         import heapq
 
@@ -171,17 +177,17 @@ class Codec:
             if before[i] >= 0:
                 offer(before[i])
             offer(i)
-        return tuple(x for x in part if x >= 0)
+        return np.array([x for x in part if x >= 0], "<u4").tobytes()
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Tokens of the pieces; short ones are kept while there is room."""
-        out: dict[str, tuple[int, ...]] = {}
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Packed tokens of the pieces; short ones are kept while there is room."""
+        out: dict[str, bytes] = {}
         by_size: dict[int, list[tuple[str, bytes]]] = {}
         for piece in pieces:
             data = piece.encode()
             whole = self.ids.get(data) if self.whole_first or len(data) == 1 else None
             if whole is not None:
-                out[piece] = (whole,)
+                out[piece] = whole.to_bytes(4, "little")
             elif len(data) > SHORT:
                 out[piece] = self.merge_long(data)
             else:
@@ -215,18 +221,18 @@ class Codec:
                     parts.append(found)
                     new.update(x for x in set(found) if x not in kept)
             cut.append(parts)
-        more = self.learn(new) if new else {}
+        more = kept_before(kept, cut, new) if len(new) + len(kept) > KEEP else {}
+        more |= self.learn(new) if new else {}
         kept = self.kept
         out = []
         for parts in cut:
-            ids: list[int] = []
+            ids: list[bytes] = []
             for part in parts:
                 if isinstance(part, int):
-                    ids.append(part)
+                    ids.append(part.to_bytes(4, "little"))
                 else:
-                    for x in part:
-                        ids.extend(more[x] if x in more else kept[x])
-            out.append(np.array(ids, dtype=np.uint32))
+                    ids += [kept[x] if x in kept else more[x] for x in part]
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -246,7 +252,7 @@ def codec(spec: str) -> Codec:
 
 
 #: Characters of text that are encoded together.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
