@@ -30,7 +30,7 @@ SHINGLE = 5
 BLOCK = 16
 #: Items in one broadcast index, and words in it at most.
 SHARD_ITEMS, SHARD_WORDS = 20_000, 4_000_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Share of an item's words that are its answer, where the benchmark has one text an item.
 ANSWER_SHARE = 0.25
 

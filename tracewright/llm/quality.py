@@ -23,7 +23,7 @@ BITS = 18
 #: Rated documents that the model is fitted on, at most; they are the first by a hash of the id.
 FIT_ROWS = 8000
 #: Texts whose features are made at a time, in bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 CLASSES = np.zeros(256, np.uint8)
 CLASSES[48:58] = 1
 CLASSES[65:91] = 2
@@ -57,12 +57,14 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
         d = np.r_[d, doc[long]]
     count = np.maximum(np.bincount(doc, minlength=n_docs), 1)
 
+    kind = CLASSES[raw]
+
     def per_word(flag: np.ndarray) -> np.ndarray:
-        upto = np.r_[0, np.cumsum(flag[raw])] if len(raw) else np.zeros(1, np.int64)
-        return upto[end] - upto[start]
+        # white space has no flag, so a word's sum may run to the next word's start
+        return np.add.reduceat(flag, start, dtype=np.int32) if len(start) else np.zeros(0, np.int32)
 
     size = end - start
-    upper, lower, marks, digits = (per_word(CLASSES == 2), per_word(CLASSES == 3), per_word(A.MARK), per_word(CLASSES == 1))
+    upper, lower, marks, digits = (per_word(kind == 2), per_word(kind == 3), per_word(A.MARK[raw]), per_word(kind == 1))
     share = lambda flag: np.bincount(doc, weights=flag, minlength=n_docs) / count
     whole = A.word_hashes(low, start, end)
     same = np.r_[False, (whole[1:] == whole[:-1]) & (doc[1:] == doc[:-1])] if len(whole) else np.zeros(0, dtype=bool)
