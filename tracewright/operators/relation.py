@@ -306,12 +306,12 @@ def timed_all_covered(rel: Rel, low, high, axis: Axis) -> Rel:
     """Positions whose whole (low, high) past lies in a range of rel; positions without such a past may be among them."""
     axis.timed()
     flat = runs(rel, axis)
-    df = flat.df.withColumn("_p", F.col("f") - 1).withColumn("_q", F.col("t") + 1)
+    df = flat.df.withColumn("_before", F.col("f") - 1).withColumn("_after", F.col("t") + 1)
     if high is None:
         df = df.where("f = 1").withColumn("_a", F.lit(0).cast("long"))
     else:
-        df = _last_within(df, "_p", high, "_a", axis).withColumn("_a", F.when(F.col("_p") < 1, F.lit(0)).otherwise(F.col("_a")))
-    df = _first_after(df, "_q", low, "_e", axis).withColumn("_e", F.when(F.col("_q") > axis.n, F.lit(axis.n + 1)).otherwise(F.col("_e")))
+        df = _last_within(df, "_before", high, "_a", axis).withColumn("_a", F.when(F.col("_before") < 1, F.lit(0)).otherwise(F.col("_a")))
+    df = _first_after(df, "_after", low, "_e", axis).withColumn("_e", F.when(F.col("_after") > axis.n, F.lit(axis.n + 1)).otherwise(F.col("_e")))
     df = df.select(*flat.keys, (F.col("_a") + 1).cast("long").alias("f"), (F.col("_e") - 1).cast("long").alias("t")).where("f <= t")
     return Rel(rel.vars, df)
 
