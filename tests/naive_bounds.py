@@ -1,0 +1,20 @@
+"""The values of a parameter in req(x) -> P or F ack(x), by trying each."""
+
+
+def each_value(events, op, low, high):
+    """high None: the parameter is the upper end, else the lower one."""
+    out = []
+    for i, (event, t) in enumerate(events):
+        asked = event.get("req", [])
+        if not asked:
+            out.append(("true", None))
+            continue
+        others = range(i, len(events)) if op == "F" else range(i + 1)
+
+        def holds(n, x, others=others, t=t):
+            a, b = (low, n) if high is None else (n, high)
+            return any(a <= abs(events[j][1] - t) <= b and x in events[j][0].get("ack", []) for j in others)
+
+        good = [n for n in range(60) if all(holds(n, x) for x in asked)]
+        out.append(("false", None) if not good else ("ge", min(good)) if high is None else ("le", max(good)))
+    return out

@@ -60,7 +60,7 @@ def _needed(monitor: Monitor, name: str, trace: Trace) -> tuple[str, DataFrame]:
 
 def _oldest(both: DataFrame, keys: list[str], span: tuple[int, int]) -> DataFrame:
     """The time of the first witness at the asked place or later, if it is not after the asking position."""
-    told = R.running(both, keys, "_o", F.col("_k").desc(), span, {"_best": ("min", F.col("_w"), True), "_first": ("min", F.when(F.col("_k") == 0, F.col("_o")), True)}, down=True)
+    told = R.running(both, keys, "_o", F.col("_k").asc(), span, {"_best": ("min", F.col("_w"), True), "_first": ("min", F.when(F.col("_k") == 0, F.col("_o")), True)}, down=True)
     return told.where("_k = 1").withColumn("_best", F.when(F.col("_first") <= F.col("_p"), F.col("_best")))
 
 
