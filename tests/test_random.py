@@ -3,9 +3,10 @@
 import random
 from functools import reduce
 
-import naive
 import pytest
 
+from tests import naive
+
 from tracewright.plans.formula import Bound, Compare, Logic, Not, Pred, Quant, Spec, Property, Temporal, Var, show
 from tracewright.plans.monitor import Monitor
 from tracewright.sources.trace import Trace
