@@ -102,4 +102,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {}
+_OP1 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d),
+windows AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS s FROM starts),
+again AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS n FROM windows SEMI JOIN again USING (s)),
+words AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS n, unnest(w) AS word FROM d),
+met AS (SELECT words.doc_id, words.n, word, gone.n IS NOT NULL AS out FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.n = gone.n),
+each AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (out) AS n_removed, string_agg(word, ' ' ORDER BY n) FILTER (NOT out) AS kept FROM met GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN each ON d.doc_id = each.doc_id"""
+
+_OP5 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+common AS (SELECT key AS held, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+met AS (SELECT k.*, held IS NOT NULL AND doc_id <> keeper AS out FROM k LEFT JOIN common ON key = held)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT out), '')) AS kept_sha256
+FROM met GROUP BY doc_id"""
+
+_OP8 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+#: XXH64 (op3), BPE (op6), bytes of UTF-8 (op7), places of matches (op9) and the models have no SQL: they are tested against brute force.
+SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op5_line_dedup": _OP5, "op8_topk_search": _OP8}
