@@ -187,40 +187,80 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_co
 NEAR_KEYS = 5
 
 
+def shingle_sets(text: bytes, size: int) -> tuple[np.ndarray, int]:
+    """The distinct shingle hashes of a text, sorted, and one number for the set; zero for no shingles."""
+    s = np.unique(shingle_hashes(text, size))
+    return s, int(np.bitwise_xor.reduce(A.mix(s), initial=A.U64(len(s))).view(np.int64)) if len(s) else 0
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets is `similarity` or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def verified(group: np.ndarray, sets: list[np.ndarray], label: list[int], similarity: float) -> None:
+    """Joins in label all that pairs of one group at the similarity or more reach.
+
+    label: each place's parent, followed to the root. Pairs already joined are left out, and so
+    are pairs whose sizes, or counts of hashes by their lower bits, cannot reach the similarity.
+    """
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = i = label[label[i]]
+        return i
+
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.lexsort((size, group))
+    for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        top = np.fromiter(map(root, some.tolist()), np.int64, len(some))
+        if (top == top[0]).all():
+            continue
+        n = size[some]
+        spread = np.stack([np.bincount((sets[i] & A.U64(127)).astype(np.int64), minlength=128) for i in some.tolist()]).astype(np.int32)
+        upto = np.searchsorted(n, n / similarity + 1e-6, "right")
+        for k in range(len(some) - 1):
+            rest = np.arange(k + 1, max(k + 1, int(upto[k])))
+            rest = rest[top[rest] != top[k]]
+            if not len(rest):
+                continue
+            most = np.minimum(spread[rest], spread[k]).sum(axis=1)
+            i = int(some[k])
+            for at in rest[most * (1 + similarity) >= similarity * (n[rest] + n[k]) - 1e-6].tolist():
+                j = int(some[at])
+                x, y = root(i), root(j)
+                if x != y and similar(sets[i], sets[j], similarity):
+                    label[max(x, y)] = min(x, y)
+            top = np.fromiter(map(root, some.tolist()), np.int64, len(some)) if len(some) < 64 else top
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 18, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 4_000) -> DataFrame:
     """doc_id and component_id of each distinct id: near-duplicates by verified SimHash links.
 
     Two texts link if the Jaccard similarity of their sets of `shingle`-word shingles is
     `similarity` or more. Texts that share one of five least shingle hashes meet in a shard's
     BK-tree (two texts at a similarity of 0.8 miss each other in one of 3,000 cases); those
-    at `radius` or fewer differing bits are verified on their shingles, unless already joined.
+    at `radius` or fewer differing bits are verified on their shingles first, and then all other
+    pairs that meet, unless already joined: the radius drops no link.
     Texts without words make one group. component_id is the smallest doc_id of the group. A
     null id is skipped; rows of one id are one document with several texts.
     """
 
-    def shingles_of(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray, int]:
-        h = shingle_hashes((x.as_py() or "").encode(), shingle)
-        s = np.unique(h)
-        return h, s, int(np.bitwise_xor.reduce(A.mix(s), initial=A.U64(len(s))).view(np.int64)) if len(s) else 0
-
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, fp, keys = [], [], []
             for x in batch.column(1):
-                h, s, key = shingles_of(x)
+                s, key = shingle_sets((x.as_py() or "").encode(), shingle)
                 node.append(key)
-                fp.append(fingerprint(h))
+                fp.append(fingerprint(s))
                 keys.append([int((s * A.U64(pow(A.BASE, k, 1 << 64))).min().view(np.int64)) for k in range(NEAR_KEYS)] if len(s) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "keys"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, sets = [], []
-            for x in batch.column(1):
-                _, s, key = shingles_of(x)
-                node.append(key)
-                sets.append(np.unique((s >> A.U64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["first", "node", "shingles"])
+            got = [shingle_sets((x.as_py() or "").encode(), shingle) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([key for _, key in got], pa.int64()), pa.array([s.tobytes() for s, _ in got], pa.binary())], ["first", "node", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     seen = checkpointed(rows.mapInArrow(sketch, "doc_id long, node long, fp long, keys array<long>"))
@@ -237,9 +277,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 18, similar
     def link(table: pa.Table) -> pa.Table:
         value = A.column(table, "fp").to_numpy().view(A.U64)
         node = A.column(table, "node").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in A.column(table, "shingles")]
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in A.column(table, "shingles")]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
-        forest, label = Forest(value, trees(table, ("place", "key", "lo", "hi"))), list(range(len(value)))
+        group = trees(table, ("place", "key", "lo", "hi"))
+        # one text's places share a label
+        _, first, same = np.unique(node, return_index=True, return_inverse=True)
+        forest, label = Forest(value, group), first[same].tolist()
 
         def root(i: int) -> int:
             while label[i] != i:
@@ -252,12 +295,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 18, similar
                 near = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
                 for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
                     x, y = root(i), root(j)
-                    if x != y:
-                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        if both >= similarity * (size[i] + size[j] - both) - 1e-9:
-                            label[max(x, y)] = min(x, y)
+                    if x != y and similar(sets[i], sets[j], similarity):
+                        label[max(x, y)] = min(x, y)
+        verified(group, sets, label, similarity)
         top = np.fromiter(map(root, range(len(label))), np.int64, len(label))
-        child = np.flatnonzero(top != np.arange(len(top)))
+        child = np.flatnonzero(node != node[top])
         return pa.table([pa.array(node[child]), pa.array(node[top[child]])], ["a", "b"])
 
     shard = F.pmod(F.xxhash64("place", "key", "lo", "hi"), F.lit(384).cast("long"))
