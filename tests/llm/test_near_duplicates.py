@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+
 from tests.llm import brute
-from tracewright.llm.simhash import near_duplicates
+from tracewright.llm import _arrays as A
+from tracewright.llm.simhash import NEAR_KEYS, near_duplicates, shingle_sets
 
 
 def words(rng, n):
@@ -29,10 +32,10 @@ def groups(docs):
             if 10 * len(a & b) >= 8 * len(a | b):
                 x, y = root(i), root(j)
                 label[max(x, y)] = min(x, y)
-    least = {}
+    low = {}
     for i, (doc, _) in enumerate(docs):
-        least[root(i)] = min(doc, least.get(root(i), doc))
-    return {doc: least[root(i)] for i, (doc, _) in enumerate(docs)}
+        low[root(i)] = min(doc, low.get(root(i), doc))
+    return {doc: low[root(i)] for i, (doc, _) in enumerate(docs)}
 
 
 def got(spark, docs):
@@ -49,3 +52,28 @@ def test_repeated_phrases(spark):
     want = groups(docs)
     assert len(set(want.values())) == 12
     assert got(spark, docs) == want
+
+
+def least(text):
+    s, _ = shingle_sets(text.encode(), 5)
+    return [int((s * A.U64(pow(A.BASE, k, 1 << 64))).min()) for k in range(NEAR_KEYS)]
+
+
+def test_no_common_least_hash(spark):
+    """Pairs at 0.8 or just above that share none of the least shingle hashes; others just below 0.8 stay apart."""
+    rng, docs, missed = random.Random(2), [], 0
+    while missed < 3:
+        w = words(rng, 98)
+        a, b = " ".join(w[:89]), " ".join(w[9:])  # 85 shingles each, 76 in common
+        if not any(x == y for x, y in zip(least(a), least(b), strict=True)):
+            missed += 1
+            docs += [(len(docs), a), (len(docs) + 1, b)]
+    for k in range(40):
+        w, n = words(rng, 200), rng.randrange(40, 90)
+        docs += [(len(docs), " ".join(w[: n + 4])), (len(docs) + 1, " ".join(w[k % 12 : n + 4 + k % 12]))]
+    page = words(rng, 30)
+    docs += [(len(docs) + k, " ".join(page + words(rng, 3 + k % 6))) for k in range(60)]
+    docs += [(9_000, ""), (9_001, None), (9_002, "one two"), (9_003, "One  TWO")]
+    want = groups(docs)
+    assert len(np.unique(list(want.values()))) < len(docs) - 20
+    assert got(spark, docs) == want
