@@ -3,16 +3,15 @@
 Two variable-order Markov models over the characters of host and path, one of accepted and one
 of rejected URLs, are smoothed by interpolating each order with the next shorter one
 (Witten-Bell). A URL's measure is the difference of its log-likelihoods divided by its length;
-the cut is calibrated on URLs held out from the counts. Contexts are hashed to a fixed number
-of slots, so the models have a fixed size; their counts are gathered from all URLs.
+the cut is calibrated on URLs held out from the counts. What a character adds follows from it
+and the ORDER bytes before it: one gram, held whole in a 64-bit number. The exact counts of all
+grams are a written table that grows with the corpus; nothing is hashed or sent to the driver.
 
 Explicit rules on host and path come first; the longest rule that fits decides.
 """
 
 from __future__ import annotations
 
-import pickle
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +23,10 @@ from pyspark.sql import functions as F
 from tracewright.llm import _arrays as A
 from tracewright.llm._links import checkpointed
 
-#: Longest context, in bytes, and the bits of a slot's number.
-ORDER, BITS = 5, 18
-SLOTS = 1 << BITS
+#: Longest context, in bytes; it and a character fit in 64 bits.
+ORDER = 5
+#: The four models: of accepted and rejected URLs, without those held out and of all.
+MODELS = ("early_good", "early_bad", "good", "bad")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One in so many URLs, by hash, is held out to calibrate the cut.
 HELD = 5
@@ -80,109 +80,85 @@ def _text(host: pa.Array, path: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, np.r_[0, np.cumsum(size)]
 
 
-def _slots(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Places of all characters to be foretold, (context slot, slot of context and character) by order, and each place's URL."""
+def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of each character to be foretold (it and the ORDER bytes before it, itself the lowest byte), and its URL."""
     place = np.ones(len(buf), dtype=bool)
     for k in range(ORDER):
         place[off[:-1] + k] = False
     at = np.flatnonzero(place)
-    values, out = A.TABLE[buf], []
-    for order in range(ORDER + 1):
-        name = A.U64(order + 1)
-        context = A.mix(A.rolling(values, order)[at - order] + name) if order else np.full(len(at), A.mix(np.array([1], A.U64))[0])
-        pair = A.mix(A.rolling(values, order + 1)[at - order] ^ A.U64((order + 1) * A.BASE2 & A.MASK))
-        out.append(((context >> A.U64(64 - BITS)).astype(np.int64), (pair >> A.U64(64 - BITS)).astype(np.int64)))
-    return at, out, np.searchsorted(off, at, "right") - 1
+    gram = np.zeros(len(at), np.int64)
+    for k in range(ORDER, -1, -1):
+        gram = gram << 8 | buf[at - k]
+    return gram, np.searchsorted(off, at, "right") - 1
 
 
-@dataclass(frozen=True)
-class Markov:
-    """Counts by slot of contexts with a character, of contexts, and of different characters after a context; by order."""
-
-    pair: np.ndarray
-    total: np.ndarray
-    kinds: np.ndarray
-
-    def packed(self) -> bytes:
-        """The slots in use, compressed."""
-        out = []
-        for table in (self.pair, self.total, self.kinds):
-            at = np.flatnonzero(table)
-            out.append((at.astype(np.int32), table.ravel()[at]))
-        return zlib.compress(pickle.dumps(out), 1)
-
-    @classmethod
-    def unpacked(cls, blob: bytes) -> Markov:
-        tables = []
-        for at, values in pickle.loads(zlib.decompress(blob)):  # noqa: S301  our own broadcast
-            table = np.zeros((ORDER + 1) * SLOTS, np.float64)
-            table[at] = values
-            tables.append(table.reshape(ORDER + 1, SLOTS))
-        return cls(*tables)
-
-    def log_likelihood(self, slots: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        p = np.full(len(slots[0][0]), 1 / 256)
-        for order, (context, pair) in enumerate(slots):
-            n, t, c = self.total[order][context], self.kinds[order][context], self.pair[order][pair]
-            p = np.where(n > 0, (np.minimum(c, n) + t * p) / np.maximum(n + t, 1), p)
-        return np.log(p)
-
-
-def url_counts(urls: DataFrame) -> DataFrame:
-    """urls: host, path, rejected, held. Counts (rejected, held, order, context, pair) -> n."""
+def gram_counts(urls: DataFrame) -> DataFrame:
+    """urls: host, path, rejected, held. gram and how often each of MODELS has it, zeros included."""
 
     def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = _text(batch.column(0), batch.column(1))
-            if not len(buf):
-                continue
-            _, slots, url = _slots(buf, off)
+            gram, url = _grams(*_text(batch.column(0), batch.column(1)))
             label = batch.column(2).cast(pa.int8()).to_numpy() * 2 + batch.column(3).cast(pa.int8()).to_numpy()
-            for order, (context, pair) in enumerate(slots):
-                key, n = np.unique((label[url].astype(np.int64) << 2 * BITS) | context << BITS | pair, return_counts=True)
-                kind = key >> 2 * BITS
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kind >= 2), pa.array(kind % 2 == 1), pa.array(np.full(len(key), order, np.int32)), pa.array((key >> BITS) & (SLOTS - 1), pa.int64()), pa.array(key & (SLOTS - 1), pa.int64()), pa.array(n, pa.int64())],
-                    ["rejected", "held", "ord", "context", "pair", "n"],
-                )
-
-    parts = urls.mapInArrow(act, "rejected boolean, held boolean, ord int, context long, pair long, n long")
-    return parts.groupBy("rejected", "held", "ord", "context", "pair").agg(F.sum("n").alias("n"))
-
-
-def _model(counts: DataFrame, rejected: bool) -> Markov:
-    """The model of one class. Reduced to one row a slot first: at most (ORDER + 1) * SLOTS rows come to the driver."""
-    mine = counts.where(F.col("rejected") == rejected)
-    pair, total, kinds = (np.zeros((ORDER + 1, SLOTS), np.float64) for _ in range(3))
-    got = mine.groupBy("ord", "pair").agg(F.sum("n").alias("n")).toArrow()
-    pair[got["ord"].to_numpy(), got["pair"].to_numpy()] = got["n"].to_numpy()
-    each = mine.groupBy("ord", "context", "pair").agg(F.sum("n").alias("n"))
-    got = each.groupBy("ord", "context").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t")).toArrow()
-    total[got["ord"].to_numpy(), got["context"].to_numpy()] = got["n"].to_numpy()
-    kinds[got["ord"].to_numpy(), got["context"].to_numpy()] = got["t"].to_numpy()
-    return Markov(pair, total, kinds)
-
-
-def _measured(urls: DataFrame, accepted: Markov, rejected: Markov) -> DataFrame:
-    """urls with measure: (log P(accepted) - log P(rejected)) / characters; 0 for no characters."""
-    # two models of bounded size: at most 6 orders, 2**18 slots and 3 tables, of which the slots in use are sent
-    shared = urls.sparkSession.sparkContext.broadcast((accepted.packed(), rejected.packed()))
+            key, n = np.unique(gram << 2 | label[url], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key >> 2), pa.array(key & 2 > 0), pa.array(key & 1 > 0), pa.array(n, pa.int64())], ["gram", "rejected", "held", "n"])
+
+    parts = urls.select("host", "path", "rejected", "held").mapInArrow(act, "gram long, rejected boolean, held boolean, n long")
+    which = dict(zip(MODELS, ("not rejected and not held", "rejected and not held", "not rejected", "rejected"), strict=True))
+    return parts.groupBy("gram").agg(*(F.sum(F.when(F.expr(x), F.col("n")).otherwise(0)).alias(m) for m, x in which.items()))
+
+
+def gram_gains(counts: DataFrame) -> DataFrame:
+    """gram, early_gain and gain: the difference of the log-probabilities of its character after its context."""
+    levels = [counts]
+    for order in range(ORDER - 1, -1, -1):
+        shorter = levels[0].groupBy(F.col("gram").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("gram")).agg(*(F.sum(m).alias(m) for m in MODELS))
+        levels.insert(0, checkpointed(shorter))
+    known = None
+    for order, pairs in enumerate(levels):
+        context = F.shiftright("gram", 8)
+        sums = [x for m in MODELS for x in (F.sum(m).alias(f"n_{m}"), F.sum((F.col(m) > 0).cast("long")).alias(f"t_{m}"))]
+        both = pairs.withColumn("context", context).join(pairs.groupBy(context.alias("context")).agg(*sums), "context")
+        if known is None:
+            both = both.select("*", *(F.lit(1 / 256).alias(f"p_{m}") for m in MODELS))
+        else:
+            both = both.withColumn("short", F.col("gram").bitwiseAND((1 << 8 * order) - 1)).join(known.withColumnRenamed("gram", "short"), "short")
+        p = {m: F.when(F.col(f"n_{m}") > 0, (F.col(m) + F.col(f"t_{m}") * F.col(f"p_{m}")) / (F.col(f"n_{m}") + F.col(f"t_{m}"))).otherwise(F.col(f"p_{m}")) for m in MODELS}
+        known = checkpointed(both.select("gram", *(x.alias(f"p_{m}") for m, x in p.items())))
+    return known.select("gram", (F.log("p_early_good") - F.log("p_early_bad")).alias("early_gain"), (F.log("p_good") - F.log("p_bad")).alias("gain"))
+
+
+def _measured(urls: DataFrame, gains: DataFrame, count: int, part_rows: int = 20_000) -> DataFrame:
+    """urls with early and measure: (log P(accepted) - log P(rejected)) / characters, by either pair of models; 0 for no characters.
+
+    A part of the URLs asks for each of its grams once, so a gram of all URLs makes one row a part.
+    """
     names = urls.columns
+    dealt = urls.withColumn("part", F.pmod(F.xxhash64(*names), F.lit(max(12, count // part_rows)).cast("long")))
 
-    def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = map(Markov.unpacked, shared.value)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = _text(batch.column(names.index("host")), batch.column(names.index("path")))
-            out = np.zeros(batch.num_rows)
-            if len(buf):
-                at, slots, url = _slots(buf, off)
-                gain = good.log_likelihood(slots) - bad.log_likelihood(slots)
-                n = np.bincount(url, minlength=len(out))
-                out = np.where(n > 1, np.bincount(url, weights=gain, minlength=len(out)) / np.maximum(n, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, "measure"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema), "measure double"])
-    return urls.mapInArrow(act, schema)
+            gram, url = _grams(*_text(batch.column(0), batch.column(1)))
+            part = batch.column(2).to_numpy()[url]
+            order = np.lexsort((gram, part))
+            gram, part = gram[order], part[order]
+            new = np.ones(len(gram), dtype=bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(part[new]), pa.array(gram[new])], ["part", "gram"])
+
+    def act(mine: pa.Table, known: pa.Table) -> pa.Table:
+        early, full = np.zeros(mine.num_rows), np.zeros(mine.num_rows)
+        if mine.num_rows:
+            gram, url = _grams(*_text(A.column(mine, "host"), A.column(mine, "path")))
+            order = np.argsort(A.column(known, "gram").to_numpy())
+            at = order[np.searchsorted(A.column(known, "gram").to_numpy()[order], gram)]
+            n = np.bincount(url, minlength=mine.num_rows)
+            early, full = (np.where(n > 1, np.bincount(url, weights=A.column(known, x).to_numpy()[at], minlength=len(n)) / n, 0.0) for x in ("early_gain", "gain"))
+        return mine.select(names).append_column("early", pa.array(early)).append_column("measure", pa.array(full))
+
+    asked = dealt.select("host", "path", "part").mapInArrow(ask, "part long, gram long").distinct()
+    answers = asked.join(gains, "gram").select("part", "gram", "early_gain", "gain")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema), "early double", "measure double"])
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(act, schema)
 
 
 def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = (), rejected: Column | None = None, id_col: str = "page_id", url_col: str = "url", quantile: float = 0.02) -> DataFrame:
@@ -206,12 +182,12 @@ def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = (), rejected: Colu
     some = urls.where("host <> '' or path <> ''")
     sizes = {r.rejected: r["count"] for r in some.groupBy("rejected").count().collect()}
     if len(sizes) == 2:
-        counts = checkpointed(url_counts(some.select("host", "path", "rejected", "held")))
-        early = [_model(counts.where("not held"), x) for x in (False, True)]
-        held = _measured(some.where("held"), *early).groupBy("rejected").agg(F.percentile_approx("measure", [quantile, 1 - quantile], 10_000).alias("q"))
+        counts = checkpointed(gram_counts(some))
+        scored = checkpointed(_measured(some, gram_gains(counts), sum(sizes.values())))
+        held = scored.where("held").groupBy("rejected").agg(F.percentile_approx("early", [quantile, 1 - quantile], 10_000).alias("q"))
         edge = {r.rejected: r.q for r in held.collect()}
         cut = (edge[False][0] + edge[True][1]) / 2 if len(edge) == 2 else 0.0
-        scored = _measured(urls, *(_model(counts, x) for x in (False, True)))
+        scored = scored.drop("early").unionByName(urls.where("host = '' and path = ''").withColumn("measure", F.lit(0.0)))
     else:
         cut, scored = float("-inf"), urls.withColumn("measure", F.lit(0.0))
     named, said = F.lit(None).cast("string"), F.lit(None).cast("string")
