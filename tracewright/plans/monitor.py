@@ -66,7 +66,7 @@ class Monitor:
         """pos, property, holds, determined_at: one row a position (for an anchored property, position 1).
 
         determined_at is the position itself for a property of the past; with future operators
-        it is null here, see plans.delays.
+        it is null.
         """
         anchored = self.spec.properties[name].anchored
         bad = self.violations(name, trace).withColumnRenamed("pos", "_bad")
