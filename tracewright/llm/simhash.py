@@ -218,7 +218,7 @@ def verified(group: np.ndarray, sets: list[np.ndarray], label: list[int], simila
         if (top == top[0]).all():
             continue
         n = size[some]
-        spread = np.stack([np.bincount((sets[i] & A.U64(127)).astype(np.int64), minlength=128) for i in some.tolist()]).astype(np.int32)
+        spread = np.stack([spread_of(sets[i]) for i in some.tolist()])
         upto = np.searchsorted(n, n / similarity + 1e-6, "right")
         for k in range(len(some) - 1):
             rest = np.arange(k + 1, max(k + 1, int(upto[k])))
@@ -311,6 +311,29 @@ def prefix_groups(rows: DataFrame, shingle: int, similarity: float, count: int)
     return keyed.groupBy("shard").applyInArrow(meet, "grp long, node long").distinct()
 
 
+def spread_of(s: np.ndarray) -> np.ndarray:
+    """How many hashes of a set have each value of the lower seven bits."""
+    return np.bincount((s & A.U64(127)).astype(np.int64), minlength=128).astype(np.int32)
+
+
+def hopeful(group: np.ndarray, root: np.ndarray, spread: np.ndarray, similarity: float) -> np.ndarray:
+    """Which places have a partner of another root in their group that size and spread leave at the similarity."""
+    out, size = np.zeros(len(group), dtype=bool), spread.sum(axis=1, dtype=np.int64)
+    order = np.lexsort((size, group))
+    for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        n = size[some]
+        upto = np.searchsorted(n, n / similarity + 1e-6, "right")
+        for k in range(len(some) - 1):
+            rest = some[k + 1 : max(k + 1, int(upto[k]))]
+            rest = rest[root[rest] != root[some[k]]]
+            if len(rest):
+                most = np.minimum(spread[rest], spread[some[k]]).sum(axis=1)
+                near = rest[most * (1 + similarity) >= similarity * (size[rest] + n[k]) - 1e-6]
+                out[near] = True
+                out[some[k]] |= len(near) > 0
+    return out
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 18, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 4_000) -> DataFrame:
     """doc_id and component_id of each distinct id: near-duplicates by verified SimHash links.
 
@@ -373,6 +396,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 18, similar
                         label[max(x, y)] = min(x, y)
         return joined(node, label)
 
+    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [spread_of(np.frombuffer(x.as_buffer(), dtype=np.uint64)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["n", "spread"])
+
+    def prune(table: pa.Table) -> pa.Table:
+        spread = np.stack([np.frombuffer(x.as_buffer(), dtype=np.int32) for x in A.column(table, "spread")])
+        keep = hopeful(trees(table, ("grp", "lo", "hi")), A.column(table, "root").to_numpy(), spread, similarity)
+        return table.select(["grp", "node", "root", "lo", "hi"]).filter(pa.array(keep))
+
     def link_rest(table: pa.Table) -> pa.Table:
         node = A.column(table, "node").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in A.column(table, "shingles")]
@@ -396,8 +429,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 18, similar
     told = groups.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
     apart = told.groupBy("grp").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("grp").alias("g"))
     left = checkpointed(told.join(apart, F.col("grp") == F.col("g"), "left_semi"))
-    full = shared_out(left, ["grp"], F.xxhash64("node"), block_rows).join(texts, F.col("node") == F.col("n"))
     shard = F.pmod(F.xxhash64("grp", "lo", "hi"), F.lit(max(96, left.count() // 2000)).cast("long"))
+    # 128 counts a text first: its shingles go only where a pair may be similar enough
+    slim = shared_out(left, ["grp"], F.xxhash64("node"), block_rows).join(texts.mapInArrow(light, "n long, spread binary"), F.col("node") == F.col("n"))
+    slim = slim.withColumn("shard", shard).groupBy("shard").applyInArrow(prune, "grp long, node long, root long, lo long, hi long")
+    full = checkpointed(slim).join(texts, F.col("node") == F.col("n"))
     late = checkpointed(full.withColumn("shard", shard).groupBy("shard").applyInArrow(link_rest, "a long, b long"))
     if not late.isEmpty():
         roots = components(late.unionAll(roots.select("node", "root")))
