@@ -8,16 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm import near_duplicates as near
 from tracewright.llm._links import table_folder
 from tracewright.llm.bpe import bpe_encode
 from tracewright.llm.decontaminate import decontaminate
 from tracewright.llm.line_dedup import line_dedup
 from tracewright.llm.quality import quality_filter
 from tracewright.llm.queries import graded, vocabulary
-from tracewright.llm.simhash import near_duplicates
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,21 +28,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: lines that three documents or more hold stay in the one with the largest id; n_chars follows."""
-    got = line_dedup(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
-    kind = docs.schema["n_chars"].dataType
-    return got.withColumn("n_chars", F.char_length("text").cast(kind)).select(*docs.columns)
+    names = {c: f"_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    got = line_dedup(docs.withColumnsRenamed(names))
+    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
+    new = {"text": text, "n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)}
+    return got.select(*(new.get(c, F.col(names.get(c, c))).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group of near-duplicates the document with the smallest id stays, and of its equal rows one.
+    """Operator 3: of each group of near-duplicates one document stays, the one with the smallest id.
 
     Groups are texts linked by a similarity of 0.8 or more on five-word shingles; rows without an id stay.
     """
-    groups = near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id")
-    met = docs.join(groups, F.col("doc_id") == F.col("_id"), "left").where("component_id is null or component_id = doc_id")
-    twin = F.row_number().over(Window.partitionBy("doc_id", "_twin").orderBy("_twin"))
-    told = met.withColumn("_twin", F.xxhash64("text")).withColumn("_place", twin).where("doc_id is null or _place = 1")
-    return told.select(*docs.columns)
+    return near.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

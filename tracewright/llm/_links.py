@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,17 +21,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a temporary folder, but for a local master alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or os.path.join(tempfile.gettempdir(), "tracewright-checkpoints")
 
 
 def table_folder(spark: SparkSession, name: str) -> str:
     """A folder for a written table beside the checkpoints."""
-    import uuid
-
     return f"{_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Joins the groups of a and b; label is each place's least known place and stays flat."""
     while True:
@@ -76,6 +89,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
 
 
+#: A key with over a thousandth of the rows, and so many at least, is joined apart; there are a thousand of those at most.
+HOT_SHARE, HOT_ROWS = 1000, 10_000
+
+
+def hot_join(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """rows joined with one row a key; the rows of hot keys stay where they are, and the keys' own rows (a thousand at most) are broadcast."""
+    hot = checkpointed(rows.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, rows.count() // HOT_SHARE)).select(key))
+    if hot.isEmpty():
+        return rows.join(named, key)
+    few = F.broadcast(named.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(F.broadcast(hot), key, "left_anti").join(named, key).unionByName(rows.join(few, key))
+
+
+#: Rows of two columns that are broadcast at most; with more of them a join is shuffled.
+FEW_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """df (computed already), to be broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def shared_out(rows: DataFrame, key: list[str], member: Column, block: int) -> DataFrame:
     """Rows with columns `lo` and `hi`: a key of over `block` rows is cut in blocks, and each pair of blocks is a group of its own.
 
@@ -85,5 +120,5 @@ def shared_out(rows: DataFrame, key: list[str], member: Column, block: int) -> D
     hot = rows.groupBy(*key).count().where(F.col("count") > block).select(*(F.col(k).alias(f"_{k}") for k in key), F.ceil(F.col("count") / block).cast("long").alias("_n"))
     on = [F.col(k) == F.col(f"_{k}") for k in key]
     mine = F.pmod(member, F.coalesce("_n", F.lit(1).cast("long")))
-    cut = rows.join(hot, on, "left").withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_n", F.lit(1).cast("long")) - 1)))
+    cut = rows.join(small(checkpointed(hot)), on, "left").withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_n", F.lit(1).cast("long")) - 1)))
     return cut.withColumn("lo", F.least("_i", "_j")).withColumn("hi", F.greatest("_i", "_j")).drop("_i", "_j", "_n", *(f"_{k}" for k in key))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
-from tracewright.llm._links import checkpointed, components, shared_out, union
+from tracewright.llm._links import checkpointed, components, hot_join, shared_out, union
 
 SEED = 42
 
@@ -179,266 +179,6 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_co
     roots = components(fingerprint_links(each.select("fp"), radius))
     rooted = each.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n_links", F.coalesce("root", "fp").alias("root"))
     rooted = checkpointed(rooted)
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    named = checkpointed(rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("k"), "component_id", "n_links"))
-    return all_rows.join(named, F.col("fp") == F.col("k"), "left").select("doc_id", "fp", "component_id", "n_links")
-
-
-NEAR_KEYS = 5
-
-
-def shingle_sets(text: bytes, size: int) -> tuple[np.ndarray, int]:
-    """The distinct shingle hashes of a text, sorted, and one number for the set; zero for no shingles."""
-    s = np.unique(shingle_hashes(text, size))
-    return s, int(np.bitwise_xor.reduce(A.mix(s), initial=A.U64(len(s))).view(np.int64)) if len(s) else 0
-
-
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the Jaccard similarity of two sets is `similarity` or more."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both) - 1e-9
-
-
-def verified(group: np.ndarray, sets: list[np.ndarray], label: list[int], similarity: float) -> None:
-    """Joins in label all that pairs of one group at the similarity or more reach.
-
-    label: each place's parent, followed to the root. Pairs already joined are left out, and so
-    are pairs whose sizes, or counts of hashes by their lower bits, cannot reach the similarity.
-    """
-
-    def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = i = label[label[i]]
-        return i
-
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    order = np.lexsort((size, group))
-    for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-        top = np.fromiter(map(root, some.tolist()), np.int64, len(some))
-        if (top == top[0]).all():
-            continue
-        n = size[some]
-        spread = np.stack([spread_of(sets[i]) for i in some.tolist()])
-        upto = np.searchsorted(n, n / similarity + 1e-6, "right")
-        for k in range(len(some) - 1):
-            rest = np.arange(k + 1, max(k + 1, int(upto[k])))
-            rest = rest[top[rest] != top[k]]
-            if not len(rest):
-                continue
-            most = np.minimum(spread[rest], spread[k]).sum(axis=1)
-            i = int(some[k])
-            for at in rest[most * (1 + similarity) >= similarity * (n[rest] + n[k]) - 1e-6].tolist():
-                j = int(some[at])
-                x, y = root(i), root(j)
-                if x != y and similar(sets[i], sets[j], similarity):
-                    label[max(x, y)] = min(x, y)
-            top = np.fromiter(map(root, some.tolist()), np.int64, len(some)) if len(some) < 64 else top
-
-
-def common_shingles(texts: DataFrame, shingle: int, count: int, sample: int = 4096, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes that a sample of the texts holds three times or more, sorted, and how often.
-
-    They only order the shingles (prefix_of); any order finds all links, so the sample loses none.
-    """
-
-    def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0):
-                s, _ = shingle_sets((x.as_py() or "").encode(), shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["h"])
-
-    some = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, count // sample)).cast("long")) == 0)
-    times = some.mapInArrow(act, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most).toArrow()
-    h, n = A.column(times, "h").to_numpy().view(A.U64), A.column(times, "count").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def prefix_of(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first shingles of a set, the rare ones before the common; sets at the similarity or more share one of them.
-
-    They have similarity * n hashes in common at least, n the size of either one, so that not
-    all of those can lie behind the first n - ceil(similarity * n) + 1 of each.
-    """
-    h, times = common
-    seen = np.zeros(len(s), np.int64)
-    if len(h):
-        at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-        seen = np.where(h[at] == s, times[at], 0)
-    return s[np.lexsort((s, seen))[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]] if len(s) else s
-
-
-def prefix_groups(rows: DataFrame, shingle: int, similarity: float, count: int) -> DataFrame:
-    """(grp, node): every two texts that share a shingle of their prefixes are in a group; shingles of the same texts make one group."""
-    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle, count))
-    shards = max(96, count // 1000)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [shingle_sets((x.as_py() or "").encode(), shingle) for x in batch.column(0)]
-            firsts = [prefix_of(s, shared.value, similarity).tobytes() for s, _ in got]
-            yield pa.RecordBatch.from_arrays([pa.array([key for _, key in got], pa.int64()), pa.array(firsts, pa.binary())], ["node", "prefix"])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = batch.column(0).to_numpy()
-            for k in range(0, len(node), 500):
-                parts = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(1)[k : k + 500]]
-                h = A.mix(np.concatenate(parts))
-                # 32 bits of the hash and the shard: shingles that share them only make a group larger
-                low, high = h.astype(np.uint32).view(np.int32), ((h >> A.U64(32)) % A.U64(shards)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), pa.array(np.repeat(node[k : k + 500], [len(x) for x in parts]))], ["shard", "key", "node"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        key, node = A.column(table, "key").to_numpy(), A.column(table, "node").to_numpy()
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-        key, node = key[new], node[new]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        n = np.diff(np.r_[start, len(key)])
-        name = np.repeat(np.add.reduceat(A.mix(node.view(A.U64) + A.U64(A.BASE)), start).view(np.int64), n)
-        many = np.repeat(n > 1, n)
-        name, node = name[many], node[many]
-        order = np.lexsort((node, name))
-        name, node = name[order], node[order]
-        new = np.ones(len(name), dtype=bool)
-        new[1:] = (name[1:] != name[:-1]) | (node[1:] != node[:-1])
-        return pa.table([pa.array(name[new]), pa.array(node[new])], ["grp", "node"])
-
-    firsts = rows.select("text").mapInArrow(cut, "node long, prefix binary").dropDuplicates(["node"])
-    keyed = firsts.mapInArrow(spread, "shard int, key int, node long")
-    return keyed.groupBy("shard").applyInArrow(meet, "grp long, node long").distinct()
-
-
-def spread_of(s: np.ndarray) -> np.ndarray:
-    """How many hashes of a set have each value of the lower seven bits."""
-    return np.bincount((s & A.U64(127)).astype(np.int64), minlength=128).astype(np.int32)
-
-
-def hopeful(group: np.ndarray, root: np.ndarray, spread: np.ndarray, similarity: float) -> np.ndarray:
-    """Which places have a partner of another root in their group that size and spread leave at the similarity."""
-    out, size = np.zeros(len(group), dtype=bool), spread.sum(axis=1, dtype=np.int64)
-    order = np.lexsort((size, group))
-    for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-        n = size[some]
-        upto = np.searchsorted(n, n / similarity + 1e-6, "right")
-        for k in range(len(some) - 1):
-            rest = some[k + 1 : max(k + 1, int(upto[k]))]
-            rest = rest[root[rest] != root[some[k]]]
-            if len(rest):
-                most = np.minimum(spread[rest], spread[some[k]]).sum(axis=1)
-                near = rest[most * (1 + similarity) >= similarity * (size[rest] + n[k]) - 1e-6]
-                out[near] = True
-                out[some[k]] |= len(near) > 0
-    return out
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 18, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 4_000) -> DataFrame:
-    """doc_id and component_id of each distinct id: near-duplicates by verified SimHash links.
-
-    Two texts link if the Jaccard similarity of their sets of `shingle`-word shingles is
-    `similarity` or more. Texts that share one of five least shingle hashes meet in a shard's
-    BK-tree; those at `radius` or fewer differing bits are verified on their shingles. This
-    finds most links and loses some, so then every pair of texts not joined yet that shares a
-    shingle of its prefixes (prefix_of: all links do) is verified too, whatever its distance.
-    Texts without words make one group. component_id is the smallest doc_id of the group. A
-    null id is skipped; rows of one id are one document with several texts.
-    """
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, fp, keys = [], [], []
-            for x in batch.column(1):
-                s, key = shingle_sets((x.as_py() or "").encode(), shingle)
-                node.append(key)
-                fp.append(fingerprint(s))
-                keys.append([int((s * A.U64(pow(A.BASE, k, 1 << 64))).min().view(np.int64)) for k in range(NEAR_KEYS)] if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "keys"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [shingle_sets((x.as_py() or "").encode(), shingle) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([key for _, key in got], pa.int64()), pa.array([s.tobytes() for s, _ in got], pa.binary())], ["first", "node", "shingles"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    seen = checkpointed(rows.mapInArrow(sketch, "doc_id long, node long, fp long, keys array<long>"))
-    each = checkpointed(seen.groupBy("node").agg(F.min("doc_id").alias("first")))
-    keyed = seen.select("node", "fp", "keys").dropDuplicates(["node"]).select("node", "fp", F.posexplode("keys").alias("place", "key"))
-    shared = keyed.groupBy("place", "key").count().where("count > 1").select(F.col("place").alias("p"), F.col("key").alias("k"))
-    met = checkpointed(keyed.join(shared, (F.col("place") == F.col("p")) & (F.col("key") == F.col("k"))).select("node", "fp", "place", "key"))
-    groups = checkpointed(prefix_groups(rows, shingle, similarity, each.count()))
-    # the shingles only of texts that meet another, one row of each
-    meeting = met.select(F.col("node").alias("n")).unionAll(groups.select(F.col("node").alias("n"))).distinct()
-    chosen = each.join(meeting, F.col("node") == F.col("n")).select("node", "first")
-    texts = rows.join(chosen.select("first").distinct(), F.col("doc_id") == F.col("first"), "left_semi").mapInArrow(whole, "first long, node long, shingles binary")
-    texts = checkpointed(texts.dropDuplicates(["node"]).select(F.col("node").alias("n"), "shingles"))
-
-    def link(table: pa.Table) -> pa.Table:
-        value = A.column(table, "fp").to_numpy().view(A.U64)
-        node = A.column(table, "node").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in A.column(table, "shingles")]
-        size = np.fromiter(map(len, sets), np.int64, len(sets))
-        forest, label = Forest(value, trees(table, ("place", "key", "lo", "hi"))), list(range(len(value)))
-
-        def root(i: int) -> int:
-            while label[i] != i:
-                label[i] = i = label[label[i]]
-            return i
-
-        for some in forest.blocks():
-            for a, b in forest.within(some, radius):
-                # sizes alone rule out many pairs
-                near = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
-                for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
-                    x, y = root(i), root(j)
-                    if x != y and similar(sets[i], sets[j], similarity):
-                        label[max(x, y)] = min(x, y)
-        return joined(node, label)
-
-    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [spread_of(np.frombuffer(x.as_buffer(), dtype=np.uint64)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["n", "spread"])
-
-    def prune(table: pa.Table) -> pa.Table:
-        spread = np.stack([np.frombuffer(x.as_buffer(), dtype=np.int32) for x in A.column(table, "spread")])
-        keep = hopeful(trees(table, ("grp", "lo", "hi")), A.column(table, "root").to_numpy(), spread, similarity)
-        return table.select(["grp", "node", "root", "lo", "hi"]).filter(pa.array(keep))
-
-    def link_rest(table: pa.Table) -> pa.Table:
-        node = A.column(table, "node").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in A.column(table, "shingles")]
-        # texts that the BK-trees joined share a label
-        _, first, same = np.unique(A.column(table, "root").to_numpy(), return_index=True, return_inverse=True)
-        label = first[same].tolist()
-        verified(trees(table, ("grp", "lo", "hi")), sets, label, similarity)
-        return joined(node, label)
-
-    def joined(node: np.ndarray, label: list[int]) -> pa.Table:
-        top = np.array(label, np.int64)
-        while len(top) and (top[top] != top).any():
-            top = top[top]
-        child = np.flatnonzero(node != node[top])
-        return pa.table([pa.array(node[child]), pa.array(node[top[child]])], ["a", "b"])
-
-    full = shared_out(met, ["place", "key"], F.xxhash64("node"), block_rows).join(texts, F.col("node") == F.col("n"))
-    shard = F.pmod(F.xxhash64("place", "key", "lo", "hi"), F.lit(384).cast("long"))
-    roots = checkpointed(components(full.withColumn("shard", shard).groupBy("shard").applyInArrow(link, "a long, b long")))
-    # groups of one component alone have nothing left to join
-    told = groups.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
-    apart = told.groupBy("grp").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("grp").alias("g"))
-    left = checkpointed(told.join(apart, F.col("grp") == F.col("g"), "left_semi"))
-    shard = F.pmod(F.xxhash64("grp", "lo", "hi"), F.lit(max(96, left.count() // 2000)).cast("long"))
-    # 128 counts a text first: its shingles go only where a pair may be similar enough
-    slim = shared_out(left, ["grp"], F.xxhash64("node"), block_rows).join(texts.mapInArrow(light, "n long, spread binary"), F.col("node") == F.col("n"))
-    slim = slim.withColumn("shard", shard).groupBy("shard").applyInArrow(prune, "grp long, node long, root long, lo long, hi long")
-    full = checkpointed(slim).join(texts, F.col("node") == F.col("n"))
-    late = checkpointed(full.withColumn("shard", shard).groupBy("shard").applyInArrow(link_rest, "a long, b long"))
-    if not late.isEmpty():
-        roots = components(late.unionAll(roots.select("node", "root")))
-    rooted = checkpointed(each.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("node", "first", F.coalesce("root", "node").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    named = checkpointed(rooted.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("k"), "component_id"))
-    got = seen.select("doc_id", "node").join(named, F.col("node") == F.col("k"), "left")
-    return got.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = checkpointed(hot_join(rooted, least, "root").select("fp", "component_id", "n_links"))
+    return hot_join(all_rows, named, "fp").select("doc_id", "fp", "component_id", "n_links")
