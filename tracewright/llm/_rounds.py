@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm._arrays import U64
@@ -21,25 +21,33 @@ from tracewright.llm._arrays import U64
 MESSAGE = "part long, level int, bucket long, payload binary"
 MESSAGE_ARROW = pa.schema([("part", pa.int64()), ("level", pa.int32()), ("bucket", pa.int64()), ("payload", pa.binary())])
 
-#: Bytes of text in one part, on average; what one Python worker holds at a time follows it.
-PART_BYTES = 4 << 20
-LEAST_PARTS = 96
+#: Bytes of text in one part: LEAST_BYTES up to GROWS_FROM bytes in all, from there with the square root of
+#: the input, so that messages between parts and buckets stay large enough; what a Python worker holds follows it.
+LEAST_BYTES, MOST_BYTES, GROWS_FROM = 4 << 20, 64 << 20, 1 << 30
+LEAST_PARTS = 24
+#: Shuffle partitions at most; beyond it, one holds several parts.
+MOST_TASKS = 50_000
 
 
-def part_count(docs: DataFrame, text: str, part_bytes: int = PART_BYTES) -> int:
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return int(docs.agg(F.sum(F.octet_length(F.col(text)) + F.lit(64).cast("long"))).first()[0] or 0)
+
+
+def part_count(total: int) -> int:
     """How many parts the texts make, by their whole size."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text)) + F.lit(64).cast("long"))).first()[0] or 0
-    return max(LEAST_PARTS, -(-int(total) // part_bytes))
+    size = min(MOST_BYTES, max(LEAST_BYTES, int(LEAST_BYTES * (total / GROWS_FROM) ** 0.5)))
+    return max(LEAST_PARTS, -(-total // size))
 
 
 def tasks(parts: int) -> int:
-    """Shuffle partitions for so many parts; one holds a few parts."""
-    return max(12, parts // 3)
+    """Shuffle partitions for so many parts."""
+    return min(MOST_TASKS, max(12, parts))
 
 
-def deal(docs: DataFrame, key: Column, parts: int) -> DataFrame:
-    """Documents with a part each; rows of one key share a part."""
-    return docs.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts).cast("long"))).repartition(tasks(parts), "part")
+def deal(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows with a part each. Neither rows of one id nor equal rows share a part but by chance, as the input's partition counts too."""
+    row = F.xxhash64("doc_id", "text", F.spark_partition_id())
+    return docs.withColumn("part", F.pmod(row, F.lit(parts).cast("long"))).repartition(tasks(parts), "part")
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
