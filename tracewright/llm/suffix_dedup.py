@@ -4,10 +4,11 @@ One suffix array over all texts can't be spread over a cluster, and need not be:
 windows of `length` bytes have the same witness, the least-hashed run of `GRAM` bytes in
 them, so they meet in the bucket of that witness. A first round of keys tells each part which
 witnesses other documents have too; only the segments around those are sent on. A bucket
-sorts the suffixes of its segments, earlier documents first among equal ones, and the
-previous smaller document in that order gives the longest previous factor, cut at `length`:
-a window whose factor reaches `length` also starts in an earlier document. (Among equal
-suffixes in this order the next smaller position is never earlier, so it needs no look.)
+puts the suffixes of its segments in order, with the longest common prefix of neighbours, and
+finds each one's previous and next place of a smaller document: the longer of the prefixes
+shared with those two is its longest previous factor. A window whose factor reaches `length`
+also starts in an earlier document, and goes; the first copy stays. Suffixes whose window's
+hash is alone in the bucket can't reach `length` and are left out of the arrays.
 
 A witness with many different surroundings (a line that a third of the documents hold) would
 gather them all in one bucket. Such witnesses are marked in the first round, and their
@@ -32,34 +33,103 @@ GRAM = 20
 MANY = 4
 
 
-def longest_previous(text: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and longest previous factor, both cut at `length` bytes.
+#: Rounds of pointer jumps before what is left is found by one pass with a stack.
+JUMPS = 48
 
-    The suffixes begin in text at the places `at`. Returns for each the least document among
-    those whose factor reaches it (its own if none is earlier), and the factor: `length` where
-    an earlier document has the same bytes, else less (given as 0, as no more is needed). A
-    suffix whose hash is alone has no equal, so only the others are put in order.
+
+def suffix_order(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes that begin at the places, cut at `length` bytes, and the LCP of each with the one before it.
+
+    Sorted by eight bytes, and ties by the next eight. text must go on for `length` bytes behind each place.
+    """
+    n = len(at)
+    wide = np.zeros(len(text) + 8, np.uint8)
+    wide[: len(text)] = text
+    eight = np.ndarray((len(text) + 1,), ">u8", wide, strides=(1,))
+
+    def word(k: int, some: np.ndarray) -> np.ndarray:
+        """The bytes from 8k on of some suffixes; those behind `length` count as zero."""
+        left = min(8, length - 8 * k)
+        return eight[at[some] + 8 * k].astype(A.U64) >> A.U64(64 - 8 * left)
+
+    order, lcp = np.arange(n), np.zeros(n, np.int64)
+    tied, group = np.arange(n), np.zeros(n, np.int64)
+    for k in range(-(-length // 8)):
+        if not len(tied):
+            break
+        value = word(k, order[tied])
+        inner = np.lexsort((value, group)) if k else np.argsort(value, kind="stable")
+        order[tied] = order[tied][inner]
+        value = value[inner]
+        far = np.ones(len(tied), dtype=bool)
+        far[1:] = group[1:] != group[:-1]
+        x = np.r_[A.U64(0), value[1:] ^ value[:-1]]
+        fresh = far | (x != 0)
+        # neighbours of one group that differ here share all bytes before and the equal ones of this word
+        cut = np.flatnonzero(fresh & ~far)
+        left = min(8, length - 8 * k)
+        same = left - 1 - np.floor(np.log2(np.maximum(x[cut].astype(np.float64), 1.0))).astype(np.int64) // 8
+        # a value close below a power of two may be rounded up to it
+        same += (same < left) & ((x[cut] >> (A.U64(8) * np.clip(left - 1 - same, 0, 7).astype(A.U64))) == 0)
+        lcp[tied[cut]] = 8 * k + same
+        lcp[tied[~fresh]] = min(length, 8 * k + 8)
+        name = np.cumsum(fresh) - 1
+        more = (np.bincount(name) > 1)[name]
+        tied, group = tied[more], name[more]
+    return order, lcp
+
+
+def _by_stack(value: list[int], lcp: list[int]) -> tuple[list[int], list[int]]:
+    """previous_smaller in one pass; the stack holds places of rising values, and the least LCP since the one below."""
+    place, shared, stack = [], [], []
+    for i, v in enumerate(value):
+        least = lcp[i]
+        while stack and value[stack[-1]] >= v:
+            least = min(least, shared[stack.pop()])
+        place.append(stack[-1] if stack else -1)
+        shared.append(least if stack else 0)
+        stack.append(i)
+    return place, shared
+
+
+def previous_smaller(value: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest one before it of a smaller value (-1 if none), and the LCP of the two (0 if none).
+
+    A place that is not smaller hands on its own answer so far; the few that need many such jumps are found with a stack.
     """
-    least, factor = doc.copy(), np.zeros(len(doc), np.int64)
-    if not len(doc):
-        return least, factor
+    place, shared = np.arange(len(value)) - 1, lcp.copy()
+    live = np.flatnonzero(np.r_[False, value[:-1] >= value[1:]])
+    for _ in range(JUMPS):
+        if not len(live):
+            break
+        at = place[live]
+        shared[live], place[live] = np.minimum(shared[live], shared[at]), place[at]
+        live = live[place[live] >= 0]
+        live = live[value[place[live]] >= value[live]]
+    if len(live):
+        place, shared = (np.array(x, np.int64) for x in _by_stack(value.tolist(), lcp.tolist()))
+    return place, np.where(place >= 0, shared, 0)
+
+
+def longest_previous(text: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """The longest previous factor of each suffix, cut at `length`: the most bytes that it shares with one of a smaller document."""
+    out = np.zeros(len(at), np.int64)
+    if len(at):
+        order, lcp = suffix_order(text, at, length)
+        mine = doc[order]
+        _, before = previous_smaller(mine, lcp)
+        _, after = previous_smaller(mine[::-1], np.r_[0, lcp[1:][::-1]])
+        out[order] = np.maximum(before, after[::-1])
+    return out
+
+
+def meeting(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The suffixes whose window's hash is not alone."""
     h = A.rolling_bytes(text, length)[at]
     order = np.argsort(h)
     new = np.ones(len(h) + 1, dtype=bool)
     new[1:-1] = h[order][1:] != h[order][:-1]
-    met = order[~(new[:-1] & new[1:])]
-    if not len(met):
-        return least, factor
-    met = met[np.argsort(doc[met], kind="stable")]
-    suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[at[met]]).view(f"S{length}").ravel()
-    order = np.argsort(suffix, kind="stable")
-    suffix, mine = suffix[order], doc[met][order]
-    new = np.ones(len(suffix), dtype=bool)
-    new[1:] = suffix[1:] != suffix[:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(suffix)), 0))
-    least[met[order]] = mine[head]
-    factor[met[order]] = np.where(mine[head] < mine, length, 0)
-    return least, factor
+    return np.sort(order[~(new[:-1] & new[1:])])
 
 
 class _Part:
@@ -189,12 +259,14 @@ def answer_segments(length: int):
         n = _sizes(single) - length + 1
         first = np.cumsum(n) - n
         at = np.repeat(np.arange(len(single)) * single.shape[1] * 8 + 2, n) + np.arange(int(n.sum())) - np.repeat(first, n)
-        earliest, _ = longest_previous(single.view(np.uint8).ravel(), at, np.repeat(owner, n), length)
+        text, doc, factor = single.view(np.uint8).ravel(), np.repeat(owner, n), np.zeros(len(at), np.int64)
+        met = meeting(text, at, length)
+        factor[met] = longest_previous(text, at[met], doc[met], length)
         # each part's segment against its own least owner
         per = n[place]
         head2 = np.cumsum(per) - per
         which = np.repeat(first[place], per) + np.arange(int(per.sum())) - np.repeat(head2, per)
-        bit = earliest[which] < np.repeat(least, per)
+        bit = (factor[which] >= length) | (doc[which] < np.repeat(least, per))
         cut = np.add.reduceat(per, np.r_[0, np.cumsum(count)[:-1]]).cumsum()[:-1]
         bucket = table["bucket"][0].as_py()
         return R.messages([(p, 1, bucket, np.packbits(x).tobytes()) for p, x in zip(table["part"].to_pylist(), np.split(bit, cut), strict=True)])
@@ -211,15 +283,16 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     Matches lie within one row's text. Null text is empty (0, 0, 0, empty). Shorter texts stay
     whole. Rows with the same id are not earlier than each other; a null id counts as the
     largest, and nulls not earlier than each other. Other columns are ignored, whatever their
-    names. An empty table gives no rows.
+    names. An empty table gives no rows. A text is never cut: one task holds it whole, with
+    about thirty times its size in arrays.
     """
     if not 1 <= length <= 16000:
         raise ValueError("length must be from 1 to 16000 bytes")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = parts or R.part_count(texts, "text")
+    parts = parts or R.part_count(R.text_bytes(texts, "text"))
     buckets = parts
     # rows of one id may sit in several parts: owners, not parts, decide in the end
-    dealt = R.deal(texts, F.coalesce("doc_id", F.xxhash64("text")), parts)
+    dealt = R.deal(texts, parts)
 
     def first(table: pa.Table) -> pa.Table:
         key, _, many, _ = _Part(table, length).keys(surroundings=True)
