@@ -1,19 +1,23 @@
 """Line dedup over levelled sorted runs of line hashes (operator 5, DataFrame functions only).
 
-Documents come in batches, larger ids first. A run is a table sorted by line hash: how many
-documents of its batches hold the line, and, if no earlier run has it, the document that
-keeps it. A batch is reduced to one row a line, merge-anti-joined with the runs to find the
-lines that are new, and written as a run of level 0; once a level has `fanout` runs they are
-compacted into one of the next level. The last compaction gives each line's number of
-documents and its keeper. Runs are written below spark.checkpoint.dir.
+Lines come in batches. A run is a table bucketed and sorted by line hash: how many documents
+of its batches hold the line, and, if no earlier run has it, the document that keeps it. A
+batch is reduced to one row a line and merge-anti-joined with every run, bucket by bucket and
+without an exchange of the runs, to find the lines that are new; these name their keeper, the
+others only add to the count. The batch becomes a run of level 0; once a level has `fanout`
+runs they are compacted into one of the next level. Merged, the runs give each line's number
+of documents and its keeper. A manifest beside the runs lets a later session add to them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm._links import checkpointed, table_folder
+from tracewright.llm._links import checkpointed, exists, hot_join, remove, table_folder
 
 #: What is stripped from both ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
@@ -28,55 +32,106 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs: level -> tables of (h, n_docs, keeper)."""
+    """Levelled sorted runs of (h, n_docs, keeper) in a folder that the driver and all executors share.
+
+    A folder that holds runs is opened again with their number of buckets, whatever is asked.
+    """
+
+    MANIFEST = "step long, run int, level int, live boolean, buckets int"
 
-    def __init__(self, folder: str, fanout: int = 4):
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = 4, buckets: int | None = None):
         if fanout < 2:
             raise ValueError("fanout must be at least 2")
-        self.folder, self.fanout = folder, fanout
-        self.levels: list[list[DataFrame]] = [[]]
-        self.written = 0
-
-    def _write(self, run: DataFrame) -> DataFrame:
-        path = f"{self.folder}/run-{self.written}"
-        self.written += 1
-        run.sortWithinPartitions("h").write.parquet(path)
-        return run.sparkSession.read.parquet(path)
+        self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: dict[int, int] = {}  # run -> level, the runs in use
+        self.tables: dict[int, str] = {}
+        self.step = self.written = 0
+        if exists(spark, f"{self.folder}/manifest"):
+            rows = spark.read.schema(self.MANIFEST).parquet(f"{self.folder}/manifest").orderBy("step", "run").collect()
+            for r in rows:
+                self.step, self.written, self.buckets = max(self.step, r.step), max(self.written, r.run + 1), r.buckets
+                if r.live:
+                    self.levels[r.run] = r.level
+                else:
+                    self.levels.pop(r.run, None)
+
+    def _table(self, run: int) -> DataFrame:
+        """A run, by a name in the session's catalog that tells its buckets."""
+        if run not in self.tables:
+            name = f"line_run_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} (h BINARY, n_docs BIGINT, keeper BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/run-{run}'")
+            self.tables[run] = name
+        return self.spark.table(self.tables[run])
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
-
-    def _union(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out
+        return [self._table(run) for run in sorted(self.levels)]
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        return self._union(runs).groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+    def _write(self, rows: DataFrame, level: int, instead_of: list[int]) -> None:
+        """Writes a run; the manifest takes it up, and drops those that it replaces, in one step."""
+        run, name = self.written, f"line_run_{uuid.uuid4().hex}"
+        self.written += 1
+        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.folder}/run-{run}").format("parquet").saveAsTable(name)
+        self.tables[run] = name
+        self.step += 1
+        told = [(self.step, run, level, True, self.buckets), *((self.step, old, self.levels[old], False, self.buckets) for old in instead_of)]
+        rows = ", ".join(f"({a}L, {b}, {c}, {str(d).lower()}, {e})" for a, b, c, d, e in told)
+        self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(step, run, level, live, buckets)").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        self.levels[run] = level
+        for old in instead_of:
+            del self.levels[old]
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(old)}")
+            remove(self.spark, f"{self.folder}/run-{old}")
+
+    def _merged(self, runs: list[int]) -> DataFrame:
+        # read as plain files: a union of bucketed tables still claims their buckets, but has lost them
+        both = self.spark.read.schema("h binary, n_docs long, keeper long").parquet(*(f"{self.folder}/run-{run}" for run in runs))
+        return both.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
     def add(self, lines: DataFrame) -> None:
-        """Adds a batch of distinct (h, doc); no document of it may be in an earlier batch or have a larger id than theirs."""
+        """Adds a batch of distinct (h, doc) of documents that no batch had before.
+
+        A line that is new to the runs is kept by the document of this batch with the largest
+        doc; so documents with larger ids go first where the largest of all is to keep a line.
+        """
         batch = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keeper"))
-        old = self.runs()
-        if old:
-            fresh = batch.join(self._union(old).select("h"), "h", "left_anti").select("h", F.lit(True).alias("fresh"))
-            batch = batch.join(fresh, "h", "left").select("h", "n_docs", F.when(F.col("fresh"), F.col("keeper")).alias("keeper"))
-        self.levels[0].append(self._write(batch))
+        marks = []
+        for k, run in enumerate(self.runs()):
+            # a left merge join that marks the lines the run has: what it lacks is the anti-join
+            batch = batch.join(run.select("h", F.lit(True).alias(f"_seen{k}")), "h", "left")
+            marks.append(F.col(f"_seen{k}").isNull())
+        new = reduce(lambda a, b: a & b, marks, F.lit(True))
+        self._write(batch.select("h", "n_docs", F.when(new, F.col("keeper")).alias("keeper")), 0, [])
         level = 0
-        while len(self.levels[level]) >= self.fanout:
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(self._write(self._merged(self.levels[level])))
-            self.levels[level] = []
+        while len(same := [run for run, at in self.levels.items() if at == level]) >= self.fanout:
+            self._write(self._merged(same), level + 1, same)
             level += 1
 
-    def final(self) -> DataFrame:
+    def counts(self) -> DataFrame:
         """(h, n_docs, keeper) of every line."""
-        return self._merged(self.runs())
+        if not self.levels:
+            return self.spark.sql("SELECT X'' AS h, 0L AS n_docs, 0L AS keeper").limit(0)
+        return self._merged(sorted(self.levels))
+
+    def close(self, delete: bool = False) -> None:
+        """Takes the runs' names out of the session's catalog; delete: the folder, too."""
+        for name in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = {}
+        if delete:
+            remove(self.spark, self.folder)
+
+
+#: Lines in the first batches, about; each further batch doubles what came before.
+BATCH_LINES = 250_000
+
+
+def batches_for(lines: int) -> int:
+    """How many batches a table of so many lines makes: one more whenever it doubles."""
+    return max(2, (lines // BATCH_LINES).bit_length() + 1)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 6, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents without the lines that many documents hold.
 
     Adds n_lines, n_dropped and kept_text (the other lines, joined by \\n) to the columns of
@@ -87,15 +142,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     all. Each row comes out once. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    folder = table_folder(spark, "line-runs")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     # which lines of which text, by hashes only
     keys = docs.select(doc.alias("doc"), F.unhex(F.md5(text)).alias("body"), F.posexplode(F.split(text, "\n", -1)).alias("place", "line"))
     keys = keys.where(F.char_length(F.trim("line", F.lit(BLANK))) >= min_chars)
     keys = checkpointed(keys.select("doc", "body", "place", F.unhex(F.md5(line_key(F.col("line")))).alias("h")))
-    cuts = keys.select("doc").distinct().select(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
-    runs = LineRuns(folder, fanout)
+    batches = batches or batches_for(keys.count())
+    cuts = keys.select("doc").distinct().select(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
+    runs = LineRuns(spark, table_folder(spark, "line-runs"), fanout)
     edges = [None, *sorted(set(cuts)), None]
     for low, high in list(zip(edges, edges[1:], strict=False))[::-1]:
         some = keys
@@ -104,8 +159,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
         if high is not None:
             some = some.where(F.col("doc") <= high)
         runs.add(some.select("h", "doc").distinct())
-    many = checkpointed(runs.final().where(F.col("n_docs") >= min_docs).select(F.col("h").alias("k"), "keeper"))
-    gone = keys.join(many, F.col("h") == F.col("k")).where("doc <> keeper").select("doc", "body", "place").distinct()
+    many = checkpointed(runs.counts().where(F.col("n_docs") >= min_docs).select("h", "keeper"))
+    runs.close(delete=True)
+    gone = hot_join(keys, many, "h").where("doc <> keeper").select("doc", "body", "place").distinct()
     drops = gone.groupBy("doc", "body").agg(F.sort_array(F.collect_list("place")).alias("_drop")).select(F.col("doc").alias("_doc"), F.col("body").alias("_body"), "_drop")
     whole = docs.drop("n_lines", "n_dropped", "kept_text")
     row = F.struct(*(whole[f"`{c}`"] for c in whole.columns)).alias("_row")
