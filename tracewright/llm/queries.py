@@ -16,7 +16,7 @@ from tracewright.llm.simhash import simhash_components
 from tracewright.llm.substring_dedup import substring_dedup
 from tracewright.llm.suffix_dedup import suffix_dedup
 from tracewright.llm.topk_search import top_k
-from tracewright.llm.url_filter import rule, url_filter
+from tracewright.llm.url_filter import junk_page, listed_host, rule, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +32,8 @@ URL_RULES = (rule("block", "com/en/"), rule("allow", "example.com/en/7"), rule("
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(_table(spark, sf_dir, "pages"), URL_RULES)
+    """The models learn from pages that are junk by their content or of a listed host, against all others."""
+    return url_filter(_table(spark, sf_dir, "pages"), URL_RULES, junk_page(F.col("html")) | listed_host(F.col("url")))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Two variable-order Markov models over the characters of host and path, one of accepted and one
 of rejected URLs, are smoothed by interpolating each order with the next shorter one
 (Witten-Bell). A URL's measure is the difference of its log-likelihoods divided by its length;
-the cut is calibrated on URLs held out from the counts. What a character adds follows from it
+the cut is calibrated on URLs of hosts held out from the counts, so that a stated share of the
+accepted ones falls below it. What a character adds follows from it
 and the ORDER bytes before it: one gram, held whole in a 64-bit number. The exact counts of all
 grams are a written table that grows with the corpus; nothing is hashed or sent to the driver.
 
@@ -28,10 +29,10 @@ ORDER = 5
 #: The four models: of accepted and rejected URLs, without those held out and of all.
 MODELS = ("early_good", "early_bad", "good", "bad")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: One in so many URLs, by hash, is held out to calibrate the cut.
+#: One in so many hosts, by hash, is held out to calibrate the cut.
 HELD = 5
 
-#: Words of host names that mark a URL as rejected where no labels are given.
+#: Words of host names that mark a URL as rejected where no other labels are given.
 SEED_WORDS = ("adult", "ads", "adserver", "bets", "betting", "casino", "escort", "gambling", "pharma", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx")
 
 
@@ -161,32 +162,46 @@ def _measured(urls: DataFrame, gains: DataFrame, count: int, part_rows: int = 20
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(act, schema)
 
 
-def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = (), rejected: Column | None = None, id_col: str = "page_id", url_col: str = "url", quantile: float = 0.02) -> DataFrame:
+def listed_host(url: Column) -> Column:
+    """Whether a word of the host is one of SEED_WORDS."""
+    return F.arrays_overlap(F.split(host_of(url), r"[^a-z]+", -1), F.array(*(F.lit(w) for w in SEED_WORDS)))
+
+
+def junk_page(html: Column, share: float = 0.05) -> Column:
+    """Whether over a share of a page's words carry a run of three or more marks; null pages are none."""
+    visible = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
+    words = F.size(F.split(visible, r"\s+", -1))
+    return F.coalesce(F.regexp_count(F.regexp_replace(visible, r"&[a-z]+;", "&"), F.lit(r"[%*#$&=|~^]{3,}")) > share * words, F.lit(False))
+
+
+def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = (), rejected: Column | None = None, id_col: str = "page_id", url_col: str = "url", blocked: float = 0.01) -> DataFrame:
     """page_id, host, path, rule, verdict and measure of each row.
 
     verdict is the longest fitting rule's (rule holds its text, else null); where none fits, it
     is block if the measure is below the cut, else allow. rejected: which rows train the model
-    of rejected URLs, by default those with one of SEED_WORDS in the host; the others train the
-    other one. The cut lies midway between the lower `quantile` of held-out accepted URLs and
-    the upper one of rejected URLs. Null URLs and those without :// have empty host and path
-    and are allowed; so are all where no URL, or every one, is rejected in training. Repeated
-    rows are judged each. Other columns are ignored, whatever their names, but by `rejected`.
-    An empty table gives no rows.
+    of rejected URLs, by default those that listed_host marks; the others train the other one,
+    but for rows where it is null, which are only judged. The cut is where a share `blocked` of the accepted URLs of held-out hosts lies
+    below. Null URLs and those without :// have empty host and path and are allowed; so are all
+    where no URL, or every one, is rejected in training, or no accepted host is held out.
+    Repeated rows are judged each. Other columns are ignored, whatever their names, but by
+    `rejected`. An empty table gives no rows.
     """
     url = F.col(url_col).cast("string")
-    word = F.split(host_of(url), r"[^a-z]+", -1)
-    label = F.coalesce(rejected if rejected is not None else F.arrays_overlap(word, F.array(*(F.lit(w) for w in SEED_WORDS))), F.lit(False))
+    label = rejected if rejected is not None else F.coalesce(listed_host(url), F.lit(False))
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), label.alias("rejected"))
-    urls = urls.withColumn("held", F.pmod(F.xxhash64("host", "path"), F.lit(HELD)) == 0)
+    urls = urls.withColumn("held", F.pmod(F.xxhash64("host"), F.lit(HELD)) == 0)
     urls = checkpointed(urls)
     some = urls.where("host <> '' or path <> ''")
-    sizes = {r.rejected: r["count"] for r in some.groupBy("rejected").count().collect()}
-    if len(sizes) == 2:
-        counts = checkpointed(gram_counts(some))
-        scored = checkpointed(_measured(some, gram_gains(counts), sum(sizes.values())))
-        held = scored.where("held").groupBy("rejected").agg(F.percentile_approx("early", [quantile, 1 - quantile], 10_000).alias("q"))
-        edge = {r.rejected: r.q for r in held.collect()}
-        cut = (edge[False][0] + edge[True][1]) / 2 if len(edge) == 2 else 0.0
+    taught = some.where(F.col("rejected").isNotNull())
+    if taught.select("rejected").distinct().count() == 2:
+        grams = gram_counts(taught)
+        if some.where(F.col("rejected").isNull()).limit(1).count():
+            # grams of the others, which no model counts
+            rest = gram_counts(some.where(F.col("rejected").isNull()).withColumn("rejected", F.lit(False)))
+            grams = grams.unionByName(rest.select("gram", *(F.lit(0).cast("long").alias(m) for m in MODELS))).groupBy("gram").agg(*(F.sum(m).alias(m) for m in MODELS))
+        scored = checkpointed(_measured(some, gram_gains(checkpointed(grams)), some.count()))
+        edge = scored.where("held and not rejected").agg(F.percentile_approx("early", blocked, 10_000)).first()[0]
+        cut = float("-inf") if edge is None else edge
         scored = scored.drop("early").unionByName(urls.where("host = '' and path = ''").withColumn("measure", F.lit(0.0)))
     else:
         cut, scored = float("-inf"), urls.withColumn("measure", F.lit(0.0))
