@@ -29,16 +29,16 @@ def seconds(ts: str):
 
 
 def events_trace(spark: SparkSession, sf_dir: str) -> Trace:
-    events = _read(spark, sf_dir, "events").withColumn("pos", F.col("event_id") + 1)
+    events = _read(spark, sf_dir, "events").select("*", (F.col("event_id") + 1).alias("pos")).withColumn("ts", seconds("ts"))
     tables: dict[tuple[str, int], DataFrame] = {}
     for kind in KINDS:
         mine = events.where(F.col("event_type") == kind)
-        tables[kind, 0] = mine.select("pos")
-        tables[kind, 1] = mine.select("pos", F.col("user_id").alias("a0"))
-        tables[kind, 2] = mine.select("pos", F.col("user_id").alias("a0"), F.col("value").alias("a1"))
+        tables[kind, 0] = mine.select("pos", "ts")
+        tables[kind, 1] = mine.select("pos", "ts", F.col("user_id").alias("a0"))
+        tables[kind, 2] = mine.select("pos", "ts", F.col("user_id").alias("a0"), F.col("value").alias("a1"))
     k = F.get_json_object("props", "$.k").cast("long")
-    tables["req", 2] = events.where("event_type = 'signup'").select("pos", F.col("user_id").alias("a0"), (k * 600).alias("a1"))
-    return Trace(events.select("pos", seconds("ts").alias("ts")), tables=tables)
+    tables["req", 2] = events.where("event_type = 'signup'").select("pos", "ts", F.col("user_id").alias("a0"), (k * 600).alias("a1"))
+    return Trace(events.select("pos", "ts"), tables=tables)
 
 
 def pages_trace(spark: SparkSession, sf_dir: str) -> Trace:

@@ -3,8 +3,8 @@
 A relation holds rows (bindings..., f, t): for that binding, every position from f to t. Its
 size follows the facts, not the positions; ranges of one binding may overlap unless `flat`
 says that they are maximal and apart. Time is read through an Axis. All operations are joins,
-aggregations and linear window scans, keyed by bindings; a scan without a key is done in two
-levels (within ranges of the axis, then over one summary row a range).
+aggregations and linear window scans, keyed by bindings; a long scan, with or without a key, is
+done in two levels (within ranges of the axis, then over one summary row a range and key).
 """
 
 from __future__ import annotations
@@ -15,10 +15,14 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the axis in a scan without a key; one summary row each.
-RANGES = 512
-#: Up to so many positions a scan without a key is not cut.
-SMALL = 200_000
+#: Rows of a scan without a key in one range, about; up to so many positions it is not cut.
+RANGE_ROWS = 1_000_000
+#: Ranges of positions at least, where they are the key of a join.
+CUTS = 64
+#: Ranges at most, and fine cuts for each, from which ranges of even size are put together.
+MOST_RANGES, FINE = 20_000, 64
+#: With more positions a scan with a key is cut, too, so that a key with a third of all rows is many tasks' work.
+HOT_ROWS = 16_000_000
 
 
 class Axis:
@@ -53,7 +57,7 @@ class Axis:
         asked = df.withColumn("_q", when).withColumn("_k", F.lit(0))
         axis = self._times.select(F.col("ts").alias("_q"), F.lit(1).alias("_k"), F.col("_lo" if after else "_hi").alias("_p"))
         both = asked.unionByName(axis, allowMissingColumns=True)
-        found = running(both, [], "_q", F.col("_k").desc(), (self.first or 0, self.last or 0), {out: ("min" if after else "max", F.col("_p"), True)}, down=after)
+        found = running(both, [], "_q", F.col("_k").desc(), (self.first or 0, self.last or 0), {out: ("min" if after else "max", F.col("_p"), True)}, down=after, n=self.n)
         return found.where("_k = 0").drop("_q", "_k", "_p").withColumn(out, F.coalesce(out, F.lit(self.n + 1 if after else 0).cast("long")))
 
     def first_from(self, df: DataFrame, when: Column, out: str) -> DataFrame:
@@ -65,47 +69,74 @@ class Axis:
         return self._lookup(df, when, out, False)
 
 
-def running(df: DataFrame, keys: list[str], by: str, tie: Column, span: tuple[int, int], out: dict[str, tuple[str, Column, bool]], down: bool = False) -> DataFrame:
+def running(df: DataFrame, keys: list[str], by: str, tie: Column, span: tuple[int, int], out: dict[str, tuple[str, Column, bool]], down: bool = False, n: int | None = None) -> DataFrame:
     """df with running minima or maxima in the order of `by`, then tie.
 
     out: name -> (min or max, values, whether the row itself counts). span: least and largest
-    value of `by`, about. down: from the largest on.
+    value of `by`, about. down: from the largest on. n: positions of the axis, where `by` is none.
     """
     order = [F.col(by).desc() if down else F.col(by).asc(), tie]
     fold = {"min": (F.min, F.least), "max": (F.max, F.greatest)}
+    n = span[1] - span[0] + 1 if n is None else n
 
     def frame(window, own):
         return window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
 
-    if keys or span[1] - span[0] <= SMALL:
+    if n <= (HOT_ROWS if keys else RANGE_ROWS):
         window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         return df.select("*", *(fold[fn][0](x).over(frame(window, own)).alias(name) for name, (fn, x, own) in out.items()))
-    width = max(1, -(-(span[1] - span[0] + 1) // RANGES))
-    df = df.withColumn("_b", F.greatest(F.lit(-1), F.least(F.lit(RANGES + 1), F.floor((F.col(by) - span[0]) / width).cast("int"))))
-    local = df.select("*", *(fold[fn][0](x).over(frame(Window.partitionBy("_b"), own)).alias(name) for name, (fn, x, own) in out.items()))
-    summary = df.groupBy("_b").agg(*(fold[fn][0](x).alias(f"_s_{name}") for name, (fn, x, _) in out.items()))
-    before = Window.partitionBy(F.lit(0)).orderBy(F.col("_b").desc() if down else F.col("_b").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(F.col("_b").alias("_c"), *(fold[fn][0](f"_s_{name}").over(before).alias(f"_s_{name}") for name, (fn, _, _) in out.items()))
-    # at most RANGES + 3 rows are broadcast
-    joined = local.join(F.broadcast(carry), F.col("_b") == F.col("_c"))
+    ranges = min(MOST_RANGES, -(-n // RANGE_ROWS))
+    df = ranged(df, by, span, ranges) if keys else even_ranges(df, by, span, ranges)
+    local = df.select("*", *(fold[fn][0](x).over(frame(Window.partitionBy(*keys, "_b"), own)).alias(name) for name, (fn, x, own) in out.items()))
+    summary = df.groupBy(*keys, "_b").agg(*(fold[fn][0](x).alias(f"_s_{name}") for name, (fn, x, _) in out.items()))
+    before = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = before.orderBy(F.col("_b").desc() if down else F.col("_b").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*(F.col(k).alias(f"_c_{k}") for k in keys), F.col("_b").alias("_c"), *(fold[fn][0](f"_s_{name}").over(before).alias(f"_s_{name}") for name, (fn, _, _) in out.items()))
+    # without a key, MOST_RANGES and a few rows are broadcast at most
+    joined = local.join(carry if keys else F.broadcast(carry), [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys] + [F.col("_b") == F.col("_c")])
     for name, (fn, _, _) in out.items():
         joined = joined.withColumn(name, fold[fn][1](name, f"_s_{name}"))
-    return joined.drop("_b", "_c", *(f"_s_{name}" for name in out))
+    return joined.drop("_b", "_c", *(f"_c_{k}" for k in keys), *(f"_s_{name}" for name in out))
+
+
+def ranged(df: DataFrame, by: str, span: tuple[int, int], ranges: int, out: str = "_b") -> DataFrame:
+    """df with the number of the range of `by`, of so many of even width, that a row lies in."""
+    width = max(1, -(-(span[1] - span[0] + 1) // ranges))
+    return df.withColumn(out, F.greatest(F.lit(-1), F.least(F.lit(ranges + 1), F.floor((F.col(by) - span[0]) / width).cast("int"))))
+
+
+def even_ranges(df: DataFrame, by: str, span: tuple[int, int], ranges: int) -> DataFrame:
+    """df with the number of a range of `by` with about RANGE_ROWS rows (more where a fine cut alone has more): a busy hour makes many."""
+    cut = ranged(df, by, span, ranges * FINE, "_f")
+    upto = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_f").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = cut.groupBy("_f").count()
+    # one row a fine cut, FINE * MOST_RANGES and a few at most
+    names = sizes.select(F.col("_f").alias("_g"), F.floor(F.coalesce(upto, F.lit(0)) / RANGE_ROWS).cast("int").alias("_b"))
+    return cut.join(F.broadcast(names), F.col("_f") == F.col("_g")).drop("_f", "_g")
 
 
 @dataclass(frozen=True)
 class Rel:
-    """vars: bound variables, each a column v_<name>; points: every range is one position; flat: ranges of a binding are maximal."""
+    """vars: bound variables, each a column v_<name>; points: every range is one position; flat: ranges of a binding are maximal.
+
+    lasting: every range runs on to the last position.
+    """
 
     vars: tuple[str, ...]
     df: DataFrame
     points: bool = False
     flat: bool = False
+    lasting: bool = False
 
     @property
     def keys(self) -> list[str]:
         return [col(v) for v in self.vars]
 
+    @property
+    def stamp(self) -> list[str]:
+        """The column s with each point's time, where the rows carry it; else nothing."""
+        return ["s"] if self.points and "s" in self.df.columns else []
+
 
 def col(var: str) -> str:
     return f"v_{var}"
@@ -135,17 +166,18 @@ def runs(rel: Rel, axis: Axis) -> Rel:
 
 def mirror(rel: Rel, axis: Axis) -> Rel:
     end = F.lit(axis.n + 1)
-    return replace(rel, df=rel.df.select(*rel.keys, (end - F.col("t")).alias("f"), (end - F.col("f")).alias("t")))
+    return replace(rel, lasting=False, df=rel.df.select(*rel.keys, (end - F.col("t")).alias("f"), (end - F.col("f")).alias("t")))
 
 
 def union(a: Rel, b: Rel) -> Rel:
-    return Rel(a.vars, a.df.select(*a.keys, "f", "t").unionAll(b.df.select(*a.keys, "f", "t")), a.points and b.points)
+    keep = [*a.keys, "f", "t", *(a.stamp if b.stamp else [])]
+    return Rel(a.vars, a.df.select(*keep).unionAll(b.df.select(*keep)), a.points and b.points)
 
 
 def project(rel: Rel, keep: tuple[str, ...]) -> Rel:
     if set(keep) == set(rel.vars):
         return rel
-    return Rel(keep, rel.df.select(*cols(keep), "f", "t").distinct(), rel.points)
+    return Rel(keep, rel.df.select(*cols(keep), "f", "t", *rel.stamp).distinct(), rel.points, lasting=rel.lasting)
 
 
 def bindings(rel: Rel, names: tuple[str, ...]) -> DataFrame:
@@ -153,6 +185,8 @@ def bindings(rel: Rel, names: tuple[str, ...]) -> DataFrame:
 
 
 def clip(rel: Rel, first: int, last: int) -> Rel:
+    if rel.points:
+        return replace(rel, df=rel.df.where(F.col("f").between(first, last)))
     df = rel.df.select(*rel.keys, F.greatest("f", F.lit(first).cast("long")).alias("f"), F.least("t", F.lit(last).cast("long")).alias("t"))
     return replace(rel, df=df.where("f <= t"))
 
@@ -163,9 +197,13 @@ def shift(rel: Rel, axis: Axis) -> Rel:
     return clip(replace(rel, df=df), 1, axis.n)
 
 
+def _asking(rel: Rel) -> list[str]:
+    return [*rel.keys, "f", "t", *rel.stamp]
+
+
 def _under(guard: Rel, rel: Rel, axis: Axis) -> DataFrame:
     """A point relation's rows with _m, the end of the farthest range of rel that begins up to there; rel's variables are among the guard's."""
-    ask = guard.df.select(*guard.keys, "f", "t", F.col("f").alias("_o"), F.lit(1).alias("_k"))
+    ask = guard.df.select(*_asking(guard), F.col("f").alias("_o"), F.lit(1).alias("_k"))
     tell = rel.df.select(*rel.keys, F.col("f").alias("_o"), F.lit(0).alias("_k"), F.col("t").alias("_e"))
     both = ask.unionByName(tell, allowMissingColumns=True)
     return running(both, rel.keys, "_o", F.col("_k").asc(), (1, axis.n), {"_m": ("max", F.col("_e"), True)}).where("_k = 1").drop("_o", "_k", "_e")
@@ -179,14 +217,14 @@ def overlap(a: Rel, b: Rel, axis: Axis) -> Rel:
         return replace(a, df=_under(a, b, axis).where("_m >= f").drop("_m"), flat=False)
     if b.points and not a.points and set(a.vars) <= set(b.vars):
         got = overlap(b, a, axis)
-        return Rel(names, got.df.select(*cols(names), "f", "t"), True)
+        return Rel(names, got.df.select(*cols(names), "f", "t", *got.stamp), True)
     if a.points and b.points:
-        return Rel(names, a.df.drop("t").join(b.df.drop("t"), [*cols(shared), "f"]).select(*cols(names), "f", F.col("f").alias("t")), True)
+        return Rel(names, a.df.drop("t").join(b.df.drop("t", "s"), [*cols(shared), "f"]).select(*cols(names), "f", F.col("f").alias("t"), *a.stamp), True)
     left, right = a.df, b.df.withColumnsRenamed({"f": "_f", "t": "_t"} | {col(v): f"_{col(v)}" for v in shared})
     on = [F.col(col(v)) == F.col(f"_{col(v)}") for v in shared] + [F.col("f") <= F.col("_t"), F.col("_f") <= F.col("t")]
-    if not shared and axis.n > RANGES:
+    if not shared:
         # without a shared variable, ranges of positions are the key
-        width = -(-(axis.n + 1) // RANGES)
+        width = -(-(axis.n + 1) // max(CUTS, axis.n // RANGE_ROWS))
         cut = lambda x: F.floor(F.col(x) / width).cast("int")
         left = left.withColumn("_b", F.explode(F.sequence(cut("f"), cut("t"))))
         right = right.withColumn("_c", F.explode(F.sequence(cut("_f"), cut("_t"))))
@@ -221,7 +259,7 @@ def subtract(a: Rel, b: Rel, axis: Axis) -> Rel:
 
 def once(rel: Rel, axis: Axis) -> Rel:
     df = rel.df.groupBy(*rel.keys).agg(F.min("f").alias("f"))
-    return Rel(rel.vars, df.where("f is not null").select(*rel.keys, "f", F.lit(axis.n).cast("long").alias("t")), flat=True)
+    return Rel(rel.vars, df.where("f is not null").select(*rel.keys, "f", F.lit(axis.n).cast("long").alias("t")), flat=True, lasting=True)
 
 
 def from_start(rel: Rel, axis: Axis) -> Rel:
@@ -229,6 +267,82 @@ def from_start(rel: Rel, axis: Axis) -> Rel:
     return replace(runs(rel, axis), df=runs(rel, axis).df.where("f = 1"))
 
 
+@dataclass(frozen=True)
+class Witness:
+    """What a time-bounded operator asks at a position: a witness low to high time units before (future: after), unbroken since.
+
+    points: the witnesses. low, high: an int, None (high) or a column of whoever asks. strict:
+    not at the position itself. breaks: where what must hold behind the witness up to now does not.
+    """
+
+    points: Rel
+    low: int | str
+    high: int | str | None
+    future: bool
+    strict: bool = False
+    breaks: Rel | None = None
+
+
+def within(guard: Rel, asked: Witness, axis: Axis, fails: bool = False) -> Rel:
+    """The points of the guard where the question is answered by yes (fails: by no); its variables are among the guard's.
+
+    The newest witness that is old enough decides: older ones are farther off and broken no
+    less. So one scan a key finds it, and the last break before.
+    """
+    axis.timed()
+    sign = -1 if asked.future else 1
+    mine, breaks = asked.points, asked.breaks
+    now = guard.df if guard.stamp else axis.at(guard.df, "f", "s")
+    then = mine.df if mine.stamp else axis.at(mine.df, "f", "s")
+    keep = [c for c in guard.df.columns]
+    ask = now.select(*keep, (F.col("f") * sign).alias("_o"), (F.col("s") * sign).alias("_s"), F.lit(2).alias("_k"))
+    tell = then.select(*mine.keys, (F.col("f") * sign).alias("_o"), (F.col("s") * sign).alias("_s"), F.lit(3 if asked.strict else 1).alias("_k"))
+    told = F.col("_k") != 2
+    bound = {x: F.lit(x) if isinstance(x, int) else F.col(x) for x in (asked.low, asked.high) if x is not None}
+    places = (1, axis.n) if sign > 0 else (-axis.n, -1)
+    times = (axis.first or 0, axis.last or 0) if sign > 0 else (-(axis.last or 0), -(axis.first or 0))
+    newest = {"_w": ("max", F.when(told & F.col("_s").isNotNull(), F.col("_o")), True), "_ws": ("max", F.when(told, F.col("_s")), True)}
+    last = {"_e": ("max", F.when(F.col("_k") == 0, F.col("_end")), True)}
+    together = breaks is not None and breaks.keys == mine.keys
+    both = ask.unionByName(tell, allowMissingColumns=True)
+    if breaks is not None:
+        ends = ("f", "t") if sign > 0 else ("t", "f")
+        broken = breaks.df.select(*breaks.keys, (F.col(ends[0]) * sign).alias("_o"), (F.col(ends[1]) * sign).alias("_end"), F.lit(0).alias("_k"))
+        if together:
+            both = both.unionByName(broken, allowMissingColumns=True)
+    by_place = isinstance(asked.low, int) and asked.low == 0
+    if by_place:
+        both = running(both, mine.keys, "_o", F.col("_k").asc(), places, newest | (last if together else {}))
+    else:
+        low = bound[asked.low]
+        both = both.withColumn("_q", F.when(told, F.col("_s")).otherwise(F.col("_s") - low))
+        # nothing at the same time as what is asked for counts as later, but with a bound of 0 what lies behind
+        tie = F.struct(F.when(~told & (low > 0), F.lit(2**62)).otherwise(F.col("_o")).alias("a"), F.col("_k").alias("b"))
+        both = running(both, mine.keys, "_q", tie.asc(), times, newest, n=axis.n)
+        if together:
+            both = running(both, mine.keys, "_o", F.col("_k").asc(), places, last)
+    got = both.where(~told)
+    if breaks is not None and not together:
+        got = got.unionByName(broken, allowMissingColumns=True)
+        got = running(got, breaks.keys, "_o", F.col("_k").asc(), places, last).where(~told)
+    yes = F.col("_w").isNotNull()
+    if asked.high is not None:
+        yes &= F.col("_s") - F.col("_ws") <= bound[asked.high]
+    if breaks is not None:
+        yes &= F.col("_e").isNull() | (F.least("_e", "_o") <= F.col("_w"))
+    yes = F.coalesce(yes, F.lit(False))
+    return replace(guard, df=got.where(~yes if fails else yes).select(*keep), flat=False, lasting=False)
+
+
+def best_before(guard: Rel, rel: Rel, value: str, most: bool, axis: Axis, out: str) -> DataFrame:
+    """The guard's rows with the largest (or least) value of a variable among the lasting ranges begun by then, by rel's other variables."""
+    keys = [k for k in rel.keys if k != value]
+    ask = guard.df.withColumn("_o", F.col("f")).withColumn("_k", F.lit(1))
+    tell = rel.df.select(*keys, F.col("f").alias("_o"), F.lit(0).alias("_k"), F.col(value).alias("_x"))
+    both = ask.unionByName(tell, allowMissingColumns=True)
+    return running(both, keys, "_o", F.col("_k").asc(), (1, axis.n), {out: ("max" if most else "min", F.col("_x"), True)}).where("_k = 1").drop("_o", "_k", "_x")
+
+
 def since_unbroken(w: Rel, breaks: Rel, axis: Axis) -> Rel:
     """Ranges of w stretched up to the next break; the breaks' variables are among w's."""
     ask = w.df.select(*w.keys, "f", "t", F.col("t").alias("_o"), F.lit(1).alias("_k"))

@@ -10,7 +10,7 @@ range over infinite sorts: what all but finitely many values satisfy, some value
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,19 @@ class Lit:
     rel: Rel
 
 
+class Within(Lit):
+    """A time-bounded operator on witnesses that are points: asked at a guard's points by one scan, or made a relation if need be."""
+
+    def __init__(self, asked: R.Witness, ends: tuple[str, ...], make):
+        object.__setattr__(self, "asked", asked)
+        object.__setattr__(self, "vars", {*asked.points.vars, *ends})
+        object.__setattr__(self, "make", make)
+
+    @cached_property
+    def rel(self) -> Rel:
+        return self.make()
+
+
 @dataclass(frozen=True)
 class Test:
     """A constraint on data: a Compare, a Matches, or a Pred that is a Python function."""
@@ -62,7 +75,7 @@ TRUE, FALSE = All(()), Any(())
 
 def variables(v) -> set[str]:
     if isinstance(v, Lit):
-        return set(v.rel.vars)
+        return set(v.vars if isinstance(v, Within) else v.rel.vars)
     if isinstance(v, Test):
         return free_vars(v.atom)
     if isinstance(v, Neg):
@@ -249,8 +262,8 @@ class Compiler:
                 return Rel((), self.trace.spark.createDataFrame([], "f long, t long"), True)
             return reduce(R.union, parts)
         if isinstance(v, All):
-            guards = [p for p in v.parts if isinstance(p, Lit)]
-            rest = [p for p in v.parts if not isinstance(p, Lit)]
+            guards = [p for p in v.parts if isinstance(p, Lit) and not isinstance(p, Within)] or [p for p in v.parts if isinstance(p, Lit)]
+            rest = [p for p in v.parts if not any(p is g for g in guards)]
             if not guards:
                 for p in rest:
                     rel = self.finite(p, given) if isinstance(p, Any) and p.parts else None
@@ -281,6 +294,8 @@ class Compiler:
 
     def restrict(self, guard: Rel, v, given: dict, loose: bool = False) -> Rel | None:
         """Where both the guard and the value hold; None if a variable stays unbound."""
+        if isinstance(v, Within) and guard.points and variables(v) <= set(guard.vars):
+            return R.within(guard, v.asked, self.axis)
         if isinstance(v, Lit):
             return R.overlap(guard, v.rel, self.axis)
         if isinstance(v, All):
@@ -313,6 +328,8 @@ class Compiler:
             return None if any(p is None for p in parts) else reduce(R.union, parts)
         if isinstance(v, Test):
             return Rel(guard.vars, guard.df.where(self.holds(v.atom)), guard.points, guard.flat)
+        if isinstance(v.value, Within) and guard.points:
+            return R.within(guard, v.value.asked, self.axis, fails=True)
         if isinstance(v.value, Lit):
             return R.subtract(guard, v.value.rel, self.axis)
         return Rel(guard.vars, guard.df.where(~self.holds(v.value.atom)), guard.points, guard.flat)
@@ -338,7 +355,7 @@ class Compiler:
         if isinstance(v, All):
             own = [p for p in v.parts if x in variables(p)]
             rest = [p for p in v.parts if x not in variables(p)]
-            if len(own) == 1 and not isinstance(own[0], Any) or any(isinstance(p, Lit) and x in p.rel.vars for p in own):
+            if len(own) == 1 and not isinstance(own[0], Any) or any(isinstance(p, Lit) and x in variables(p) for p in own):
                 inner = self._exists(own, rest, x, given)
                 if inner is not None:
                     return inner
@@ -349,7 +366,40 @@ class Compiler:
             return self._exists(own, rest, x, given) or self._loose(own, rest, x, given)
         return self._exists([v], [], x, given) or self._loose([v], [], x, given)
 
+    def foldable(self, own: list, rest: list, x: str):
+        """The lasting relation, the comparison and the guard of `some x that began by now compares with the guard's value`, if that is what own says."""
+        lasting = next((p for p in own if isinstance(p, Lit) and not isinstance(p, Within) and p.rel.lasting and x in p.rel.vars), None)
+        test = next((p for p in own if isinstance(p, Test) or isinstance(p, Neg) and isinstance(p.value, Test)), None)
+        if lasting is None or test is None or len(own) != 2 or self.sorts.get(x) not in ("Int", "Real"):
+            return None
+        atom = test.value.atom if isinstance(test, Neg) else test.atom
+        if not isinstance(atom, Compare) or atom.op not in ("<", "<=", ">", ">="):
+            return None
+        sides = [t for t in (atom.left, atom.right) if isinstance(t, Var) and t.name == x]
+        others = term_vars(atom.left) | term_vars(atom.right)
+        if len(sides) != 1 or x in term_vars(atom.right if atom.left is sides[0] else atom.left):
+            return None
+        asked = (set(lasting.rel.vars) | others) - {x}
+        guard = next((p for p in rest if isinstance(p, Lit) and not isinstance(p, Within) and p.rel.points and asked <= set(p.rel.vars)), None)
+        return None if guard is None else (lasting, test, guard)
+
+    def fold(self, found: tuple, rest: list, x: str):
+        """Only the largest or least x can matter: one scan instead of all pairs."""
+        lasting, test, guard = found
+        atom = test.value.atom if isinstance(test, Neg) else test.atom
+        left = isinstance(atom.left, Var) and atom.left.name == x
+        more = (atom.op in (">", ">=")) == left
+        if isinstance(test, Neg):
+            more = not more
+        df = R.best_before(guard.rel, lasting.rel, col(x), more, self.axis, col(x)).where(F.col(col(x)).isNotNull())
+        holds = self.holds(atom)
+        df = df.where(~holds if isinstance(test, Neg) else holds).drop(col(x))
+        return all_of([*(p for p in rest if p is not guard), Lit(Rel(guard.rel.vars, df, True))])
+
     def _exists(self, own: list, rest: list, x: str, given: dict):
+        found = self.foldable(own, rest, x)
+        if found is not None:
+            return self.fold(found, rest, x)
         if all(isinstance(p, Neg) and isinstance(p.value, Lit) for p in own) and self.sorts.get(x) != "Bool":
             return all_of(rest)  # all but finitely many values satisfy them
         # what binds the other variables may stand beside the quantifier
@@ -397,7 +447,8 @@ class Compiler:
             else:
                 taken[t.name] = f"a{k}"
         names = tuple(taken)
-        return Rel(names, df.select(*(F.col(taken[v]).alias(col(v)) for v in names), F.col("pos").alias("f"), F.col("pos").alias("t")), True)
+        stamp = [F.col("ts").alias("s")] if "ts" in df.columns else []
+        return Rel(names, df.select(*(F.col(taken[v]).alias(col(v)) for v in names), F.col("pos").alias("f"), F.col("pos").alias("t"), *stamp), True)
 
     def guarded(self, v, given: dict) -> dict[str, DataFrame]:
         """given, with the values that a finite value's bindings have."""
@@ -421,6 +472,12 @@ class Compiler:
         if isinstance(f, Not):
             return negated(self.evaluate(f.body, given))
         if isinstance(f, Quant):
+            block = [f]
+            while isinstance(block[-1].body, Quant) and block[-1].body.kind == f.kind:
+                block.append(block[-1].body)
+            first = self.folded(block, given) if len(block) > 1 else None
+            if first is not None:
+                return first
             inner = self.evaluate(f.body, given)
             if f.kind == "Exists":
                 return self.exists(inner, f.var, given)
@@ -437,6 +494,23 @@ class Compiler:
             return any_of([a, self.evaluate(f.right, given)])
         return self.temporal(f, given)
 
+    def folded(self, block: list[Quant], given: dict):
+        """The value of quantifiers of one kind, which may change places, if one of them before the last can be folded first."""
+        value = self.evaluate(block[-1].body, given)
+        value = value if block[-1].kind == "Exists" else negated(value)
+        names = [q.var for q in reversed(block)]
+        if not isinstance(value, All):
+            return None
+        for x in names[1:]:
+            own, rest = [p for p in value.parts if x in variables(p)], [p for p in value.parts if x not in variables(p)]
+            found = self.foldable(own, rest, x)
+            if found is not None:
+                value = self.fold(found, rest, x)
+                for y in names:
+                    value = value if y == x else self.exists(value, y, given)
+                return value if block[-1].kind == "Exists" else negated(value)
+        return None
+
     def asks(self, f) -> bool:
         """Whether values of outer variables may be needed inside: for bounds from data, or for constraints and negations under a temporal operator."""
         if isinstance(f, (Compare, Matches)):
@@ -485,6 +559,8 @@ class Compiler:
             return finite, turn(rel)
 
         def flip(v):
+            if isinstance(v, Within):
+                return v
             if isinstance(v, Lit):
                 return Lit(turn(v.rel))
             if isinstance(v, Neg):
@@ -500,8 +576,20 @@ class Compiler:
         ends = [x for x in (low, high) if isinstance(x, str)]
         low, high = (F.col(col(x)) if isinstance(x, str) else x for x in (low, high))
         timed = bound is not None and not (future and bound.low == 0 and bound.high is None)
-        finite, w = form(right)
+        finite, plain = self.form(right, given)
+        w = turn(plain)
         lack = [x for x in ends if x not in w.vars]
+        if bound is not None and timed and finite and plain.points and all(x in given for x in lack):
+            breaks = None if left == TRUE else self.form(left, given)
+            if breaks is None or not breaks[0] and set(breaks[1].vars) <= set(plain.vars):
+                asked = R.Witness(plain, *(col(x) if isinstance(x, str) else x for x in (bound.low, bound.high)), future, strict, None if breaks is None else breaks[1])
+
+                def make():
+                    far = self.expand(w, lack, given) if lack else w
+                    got = self.once(True, far, low, high, True, axis) if left == TRUE and not strict else self.since(left, far, low, high, True, strict, axis, form)
+                    return flip(got).rel
+
+                return Within(asked, tuple(lack), make)
         if lack:
             w = self.expand(w, lack, given)
         if left == TRUE and not strict:

@@ -23,8 +23,8 @@ class Trace:
     """positions(pos, ts) with pos = 1..n in order of time, and facts.
 
     A predicate comes from `tables` if it is there under (name, arity) - a DataFrame with pos
-    and its arguments as a0, a1, ..., of their own types - else from facts(pos, ts, pred,
-    args). ts may be null where no time is needed.
+    and its arguments as a0, a1, ..., of their own types, and ts where it is at hand - else from
+    facts(pos, ts, pred, args). ts may be null where no time is needed.
     """
 
     def __init__(self, positions: DataFrame, facts: DataFrame | None = None, tables: dict[tuple[str, int], DataFrame] | None = None):
@@ -41,16 +41,16 @@ class Trace:
         return Axis(self.positions, row[0] or 0, row[1], row[2])
 
     def relation(self, name: str, arity: int, sorts: list[str]) -> DataFrame:
-        """pos, a0, a1, ... of a predicate's facts; the number of arguments must agree."""
+        """pos, a0, a1, ... of a predicate's facts, and ts where it is at hand; the number of arguments must agree."""
         table = self.tables.get((name, arity))
         if table is not None:
             got = dict(table.dtypes)
             fix = [typed(F.col(f"a{k}"), s) if got[f"a{k}"] == "string" else F.col(f"a{k}") for k, s in enumerate(sorts)]
-            return table.select("pos", *(c.alias(f"a{k}") for k, c in enumerate(fix)))
+            return table.select("pos", *(c.alias(f"a{k}") for k, c in enumerate(fix)), *(["ts"] if "ts" in got else []))
         if self.facts is None:
             return self.spark.createDataFrame([], "pos long" + "".join(f", a{k} string" for k in range(arity))).select("pos", *(typed(F.col(f"a{k}"), s).alias(f"a{k}") for k, s in enumerate(sorts)))
         mine = self.facts.where((F.col("pred") == name) & (F.size("args") == arity))
-        return mine.select("pos", *(typed(F.get("args", F.lit(k)), s).alias(f"a{k}") for k, s in enumerate(sorts)))
+        return mine.select("pos", *(typed(F.get("args", F.lit(k)), s).alias(f"a{k}") for k, s in enumerate(sorts)), "ts")
 
     @classmethod
     def from_events(cls, spark: SparkSession, events: Iterable, timed: bool | None = None) -> Trace:
