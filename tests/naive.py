@@ -59,37 +59,28 @@ class Naive:
         return self._temporal(f, i, env)
 
     def _temporal(self, f, i, env):
-        at = lambda j: self.holds(f.right, j, env)
-        left = lambda j: f.left is None or self.holds(f.left, j, env)
-        low, high = (0, None) if f.bound is None else (f.bound.low, f.bound.high)
-        low, high = (env[x] if isinstance(x, str) else x for x in (low, high))
-
-        def near(j):
-            if f.bound is None:
-                return True
-            d = abs(self.events[i - 1][1] - self.events[j - 1][1])
-            return d >= low and (high is None or d <= high)
-
-        past, future = range(1, i + 1), range(i, self.n + 1)
-        if f.op == "@":
-            return i > 1 and at(i - 1)
-        if f.op == "X":
-            return i < self.n and at(i + 1)
-        if f.op == "P":
-            return any(near(j) and at(j) for j in past)
-        if f.op == "H":
-            return all(at(j) for j in past if near(j))
-        if f.op == "F":
-            return any(near(j) and at(j) for j in future)
-        if f.op == "G":
-            return all(at(j) for j in future if near(j))
-        if f.op == "S":
-            return any(near(j) and at(j) and all(left(k) for k in range(j + 1, i + 1)) for j in past)
-        if f.op == "Z":
-            return any(near(j) and at(j) and all(left(k) for k in range(j + 1, i + 1)) for j in range(1, i))
-        if f.op == "U":
-            return any(near(j) and at(j) and all(left(k) for k in range(i, j)) for j in future)
-        return any(left(j) and not any(at(k) for k in range(j + 1, i + 1)) for j in past)  # [left, right)
+        """From the positions where the right side holds, and those where the left one fails."""
+        here, op = self.events[i - 1][1], f.op
+        if op in "@X":
+            j = i - 1 if op == "@" else i + 1
+            return 1 <= j <= self.n and self.holds(f.right, j, env)
+        if op == "I":
+            starts = [j for j in range(1, i + 1) if self.holds(f.left, j, env)]
+            return bool(starts) and not any(self.holds(f.right, k, env) for k in range(starts[-1] + 1, i + 1))
+        reach = range(i, self.n + 1) if op in "FGU" else range(1, i) if op == "Z" else range(1, i + 1)
+        if f.bound is not None:
+            low, high = (env[x] if isinstance(x, str) else x for x in (f.bound.low, f.bound.high))
+            delay = {j: abs(here - self.events[j - 1][1]) for j in reach}
+            reach = [j for j in reach if low <= delay[j] and (high is None or delay[j] <= high)]
+        if op in "HG":
+            return not [j for j in reach if not self.holds(f.right, j, env)]
+        found = [j for j in reach if self.holds(f.right, j, env)]
+        if op in "PF" or not found:
+            return bool(found)
+        # the witness nearest to now has the least between it and now
+        j = found[0] if op == "U" else found[-1]
+        between = range(i, j) if op == "U" else range(j + 1, i + 1)
+        return not [k for k in between if not self.holds(f.left, k, env)]
 
 
 def verdicts(formula, events, domains, sorts, functions=None):

@@ -1,9 +1,8 @@
-"""Command line: python -m tracewright SPEC LOG [trace] [debug] [strong|weak] [z3|cvc5] [gc].
+"""Command line: python -m tracewright SPEC LOG [trace] [debug].
 
 Prints violations (or, with `trace`, each position's verdicts; with `debug`, the value of each
 subformula at each position) and the values that parameters may have. The exit code is 1 if a
-property is violated, 0 if none is, 2 if the command can't be understood. The words after
-`debug` choose among solvers elsewhere; they are accepted and change nothing here.
+property is violated, 0 if none is, 2 if the command can't be understood.
 """
 
 from __future__ import annotations
@@ -19,8 +18,11 @@ from tracewright.plans.parametric import constraints, region
 from tracewright.plans.tree import tree_rows
 from tracewright.sources.trace import Trace, read_log
 
-USAGE = "usage: python -m tracewright SPEC LOG [trace] [debug] [strong|weak] [z3|cvc5] [gc]"
-FLAGS = ("trace", "debug", "strong", "weak", "z3", "cvc5", "gc")
+USAGE = "usage: python -m tracewright SPEC LOG [trace] [debug]"
+FLAGS = ("trace", "debug")
+
+
+# The words of the lines about violations, verdicts and totals below, which readers of such logs look for.
 
 
 def fact_texts(trace: Trace, timed: bool) -> DataFrame:
@@ -41,11 +43,14 @@ def verdict_texts(monitor: Monitor, name: str, trace: Trace) -> DataFrame:
     """_pos and the verdict of each judged position as text."""
     if not monitor.params[name]:
         return monitor.verdicts(name, trace).select(F.col("pos").alias("_pos"), F.when(F.col("holds"), "holds").otherwise("VIOLATED").alias(name))
-    param = monitor.params[name][0][0]
-    bound = F.col("bound").cast("string")
-    text = F.when(F.col("kind") == "ge", F.concat(bound, F.lit(f" <= {param}"))).when(F.col("kind") == "le", F.concat(F.lit(f"{param} <= "), bound))
-    tag = F.when(F.col("kind") == "true", "holds").when(F.col("kind") == "false", "VIOLATED").otherwise(F.concat(F.lit("holds iff "), text))
-    return constraints(monitor, name, trace).select(F.col("pos").alias("_pos"), tag.alias(name))
+    told = None
+    for param, _ in monitor.params[name]:
+        bound = F.col("bound").cast("string")
+        text = F.when(F.col("kind") == "ge", F.concat(bound, F.lit(f" <= {param}"))).when(F.col("kind") == "le", F.concat(F.lit(f"{param} <= "), bound))
+        mine = constraints(monitor, name, trace, param).select(F.col("pos").alias("_pos"), (F.col("kind") == "false").alias("_never"), text.alias(f"_{param}"))
+        told = mine if told is None else told.join(mine.drop("_never"), "_pos")
+    asked = F.concat_ws(" & ", *(F.col(f"_{p}") for p, _ in monitor.params[name]))
+    return told.select("_pos", F.when(F.col("_never"), "VIOLATED").when(asked == "", "holds").otherwise(F.concat(F.lit("holds iff "), asked)).alias(name))
 
 
 def trace_table(monitor: Monitor, trace: Trace) -> DataFrame:
@@ -84,8 +89,10 @@ def run(spark: SparkSession, spec: str, log: str, trace_too: bool = False, debug
             say(f"{r.pos:>5}  {r.fact:<28}  " + "   ".join(f"{n}: {r[n]}" for n in monitor.spec.properties))
     for name, params in monitor.params.items():
         if params:
-            got = region(monitor, name, trace).first()
-            say(f"Parametric verdict for {name}: holds iff {condition(got.kind, got.bound, params[0][0])}")
+            found = [(*region(monitor, name, trace, p).first(), p) for p, _ in params]
+            never = any(kind == "false" for kind, _, _ in found)
+            parts = [condition(*x) for x in found if x[0] != "true"]
+            say(f"Parametric verdict for {name}: holds iff {'false' if never else ' & '.join(parts) or 'true'}")
     say(f"Processed {trace.axis.n} events, {violations} violation(s).")
     return violations
 

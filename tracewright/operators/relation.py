@@ -283,25 +283,22 @@ class Witness:
     breaks: Rel | None = None
 
 
-def within(guard: Rel, asked: Witness, axis: Axis, fails: bool = False) -> Rel:
-    """The points of the guard where the question is answered by yes (fails: by no); its variables are among the guard's.
+def newest(guard: Rel, asked: Witness, axis: Axis) -> DataFrame:
+    """The guard's rows with their place and time _o, _s, and _w, _ws of the newest witness that is old enough; _e: where the last break so far ends.
 
-    The newest witness that is old enough decides: older ones are farther off and broken no
-    less. So one scan a key finds it, and the last break before.
+    Places and times are negative where the future is asked. One scan a key finds all.
     """
     axis.timed()
     sign = -1 if asked.future else 1
     mine, breaks = asked.points, asked.breaks
     now = guard.df if guard.stamp else axis.at(guard.df, "f", "s")
     then = mine.df if mine.stamp else axis.at(mine.df, "f", "s")
-    keep = [c for c in guard.df.columns]
-    ask = now.select(*keep, (F.col("f") * sign).alias("_o"), (F.col("s") * sign).alias("_s"), F.lit(2).alias("_k"))
+    ask = now.select(*guard.df.columns, (F.col("f") * sign).alias("_o"), (F.col("s") * sign).alias("_s"), F.lit(2).alias("_k"))
     tell = then.select(*mine.keys, (F.col("f") * sign).alias("_o"), (F.col("s") * sign).alias("_s"), F.lit(3 if asked.strict else 1).alias("_k"))
     told = F.col("_k") != 2
-    bound = {x: F.lit(x) if isinstance(x, int) else F.col(x) for x in (asked.low, asked.high) if x is not None}
     places = (1, axis.n) if sign > 0 else (-axis.n, -1)
     times = (axis.first or 0, axis.last or 0) if sign > 0 else (-(axis.last or 0), -(axis.first or 0))
-    newest = {"_w": ("max", F.when(told & F.col("_s").isNotNull(), F.col("_o")), True), "_ws": ("max", F.when(told, F.col("_s")), True)}
+    found = {"_w": ("max", F.when(told & F.col("_s").isNotNull(), F.col("_o")), True), "_ws": ("max", F.when(told, F.col("_s")), True)}
     last = {"_e": ("max", F.when(F.col("_k") == 0, F.col("_end")), True)}
     together = breaks is not None and breaks.keys == mine.keys
     both = ask.unionByName(tell, allowMissingColumns=True)
@@ -310,28 +307,66 @@ def within(guard: Rel, asked: Witness, axis: Axis, fails: bool = False) -> Rel:
         broken = breaks.df.select(*breaks.keys, (F.col(ends[0]) * sign).alias("_o"), (F.col(ends[1]) * sign).alias("_end"), F.lit(0).alias("_k"))
         if together:
             both = both.unionByName(broken, allowMissingColumns=True)
-    by_place = isinstance(asked.low, int) and asked.low == 0
-    if by_place:
-        both = running(both, mine.keys, "_o", F.col("_k").asc(), places, newest | (last if together else {}))
+    if isinstance(asked.low, int) and asked.low == 0:
+        both = running(both, mine.keys, "_o", F.col("_k").asc(), places, found | (last if together else {}))
     else:
-        low = bound[asked.low]
+        low = F.lit(asked.low) if isinstance(asked.low, int) else F.col(asked.low)
         both = both.withColumn("_q", F.when(told, F.col("_s")).otherwise(F.col("_s") - low))
         # nothing at the same time as what is asked for counts as later, but with a bound of 0 what lies behind
         tie = F.struct(F.when(~told & (low > 0), F.lit(2**62)).otherwise(F.col("_o")).alias("a"), F.col("_k").alias("b"))
-        both = running(both, mine.keys, "_q", tie.asc(), times, newest, n=axis.n)
+        both = running(both, mine.keys, "_q", tie.asc(), times, found, n=axis.n).drop("_q")
         if together:
             both = running(both, mine.keys, "_o", F.col("_k").asc(), places, last)
     got = both.where(~told)
     if breaks is not None and not together:
-        got = got.unionByName(broken, allowMissingColumns=True)
-        got = running(got, breaks.keys, "_o", F.col("_k").asc(), places, last).where(~told)
-    yes = F.col("_w").isNotNull()
+        got = running(got.unionByName(broken, allowMissingColumns=True), breaks.keys, "_o", F.col("_k").asc(), places, last).where(~told)
+    return got.drop("_k", "_end") if breaks is not None else got.drop("_k").withColumn("_e", F.lit(None).cast("long"))
+
+
+def unbroken(asked: Witness) -> Column:
+    """Whether a row of newest() has a witness within the upper bound and no break since."""
+    yes = F.col("_w").isNotNull() & (F.col("_e").isNull() | (F.least("_e", "_o") <= F.col("_w")))
     if asked.high is not None:
-        yes &= F.col("_s") - F.col("_ws") <= bound[asked.high]
-    if breaks is not None:
-        yes &= F.col("_e").isNull() | (F.least("_e", "_o") <= F.col("_w"))
-    yes = F.coalesce(yes, F.lit(False))
-    return replace(guard, df=got.where(~yes if fails else yes).select(*keep), flat=False, lasting=False)
+        yes &= F.col("_s") - F.col("_ws") <= (F.lit(asked.high) if isinstance(asked.high, int) else F.col(asked.high))
+    return F.coalesce(yes, F.lit(False))
+
+
+def within(guard: Rel, asked: Witness, axis: Axis, fails: bool = False) -> Rel:
+    """The points of the guard where the question is answered by yes (fails: by no); its variables are among the guard's.
+
+    The newest witness that is old enough decides: older ones are farther off and broken no less.
+    """
+    yes = unbroken(asked)
+    got = newest(guard, asked, axis).where(~yes if fails else yes)
+    return replace(guard, df=got.select(*guard.df.columns), flat=False, lasting=False)
+
+
+def oldest(guard: Rel, asked: Witness, axis: Axis) -> DataFrame:
+    """As newest(), but _w and _ws are of the oldest witness within the upper bound and behind the last break; null if there is none. low is 0."""
+    got = newest(guard, replace(asked, low=0), axis).drop("_w", "_ws")
+    sign = -1 if asked.future else 1
+    mine = asked.points
+    then = mine.df if mine.stamp else axis.at(mine.df, "f", "s")
+    tell = then.select(*mine.keys, (F.col("f") * sign).alias("_o"), (F.col("s") * sign).alias("_s"), F.lit(0).alias("_k"))
+    far = (axis.last or 0) - (axis.first or 0) + 1
+    high = F.lit(far if asked.high is None else asked.high)
+    places, times = ((1, axis.n), (axis.first or 0, axis.last or 0)) if sign > 0 else ((-axis.n, -1), (-(axis.last or 0), -(axis.first or 0)))
+    ask = got.withColumn("_k", F.lit(1)).withColumn("_from", F.coalesce(F.least("_e", "_o"), F.lit(places[0]).cast("long")))
+    both = ask.unionByName(tell, allowMissingColumns=True)
+    told = F.col("_k") == 0
+    first = {"1": ("min", F.when(told, F.col("_o")), True), "2": ("min", F.when(told, F.col("_s")), True)}
+
+    def found(df: DataFrame, by: Column, name: str, span: tuple[int, int]) -> DataFrame:
+        df = df.withColumn("_q", by)
+        return running(df, mine.keys, "_q", F.col("_k").asc(), span, {f"_{name}{k}": x for k, x in first.items()}, down=True, n=axis.n).drop("_q")
+
+    both = found(both, F.when(told, F.col("_s")).otherwise(F.col("_s") - high), "a", times)
+    both = found(both, F.when(told, F.col("_o")).otherwise(F.col("_from")), "b", places)
+    # the later of the first one young enough and the first one behind the break
+    w, ws = F.when(F.col("_a1").isNotNull() & F.col("_b1").isNotNull(), F.greatest("_a1", "_b1")), F.greatest("_a2", "_b2")
+    both = both.where(~told).withColumn("_w", w).withColumn("_ws", ws)
+    good = F.col("_w") <= F.col("_o")
+    return both.withColumn("_w", F.when(good, F.col("_w"))).withColumn("_ws", F.when(good, F.col("_ws"))).drop("_k", "_from", "_a1", "_a2", "_b1", "_b2")
 
 
 def best_before(guard: Rel, rel: Rel, value: str, most: bool, axis: Axis, out: str) -> DataFrame:

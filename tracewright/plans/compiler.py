@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.functions.patterns import decompose, segments
+from tracewright.functions.patterns import decompose, segments, whole_regex
 from tracewright.functions.pyfuncs import PyFunction
 from tracewright.operators import relation as R
 from tracewright.operators.relation import Axis, Rel, col, cols
@@ -162,17 +162,16 @@ class Compiler:
         return self.call(atom.name, atom.args)
 
     def plain_match(self, atom) -> Column | None:
-        """A pattern of text and free gaps alone, by built-in string tests."""
+        """A pattern without holes, by built-in string tests."""
         parts = segments(atom.pattern, atom.slashed)
-        if any(p[0] == "hole" or p[0] == "gap" and p[1] is not None for p in parts):
-            return None
-        texts = [p[1] for p in parts if p[0] == "text"]
         s = self.term(atom.subject)
-        if len(texts) == 1:
+        texts = [p[1] for p in parts if p[0] == "text"]
+        if len(texts) == 1 and len(parts) <= 3 and all(p[0] == "text" or p == ("gap", None) for p in parts):
             before, after = parts[0][0] == "gap", parts[-1][0] == "gap"
             test = {(True, True): F.contains, (True, False): F.endswith, (False, True): F.startswith}.get((before, after))
             return test(s, F.lit(texts[0])) if test else s == texts[0]
-        return F.lit(True) if not texts else None
+        regex = whole_regex(parts)
+        return None if regex is None else s.rlike(regex)
 
     def binds(self, atom, known: set[str]) -> bool:
         """Whether the constraint gives its unbound variables their values."""

@@ -65,9 +65,19 @@ class Monitor:
     def verdicts(self, name: str, trace: Trace) -> DataFrame:
         """pos, property, holds, determined_at: one row a position (for an anchored property, position 1).
 
-        determined_at is the position itself for a property of the past; with future operators
-        it is null.
+        determined_at is the position itself for a property of the past. With future operators it
+        is the position at which the verdict is known (null: at the end of the trace); where
+        delays.py does not cover the property's shape, it is null throughout.
         """
+        if analysis.has_future(self.formulas[name]):
+            from tracewright.plans.delays import delayed
+
+            try:
+                got = delayed(self, name, trace)
+            except NotMonitorable:
+                pass
+            else:
+                return got.select("pos", F.lit(name).alias("property"), "holds", "determined_at")
         anchored = self.spec.properties[name].anchored
         bad = self.violations(name, trace).withColumnRenamed("pos", "_bad")
         positions = trace.positions.select("pos")

@@ -6,10 +6,10 @@ import csv
 from collections.abc import Iterable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.relation import Axis
+from tracewright.operators.relation import RANGE_ROWS, Axis
 
 FACTS = "pos long, ts long, pred string, args array<string>"
 
@@ -36,9 +36,29 @@ class Trace:
 
     @cached_property
     def axis(self) -> Axis:
-        # one small aggregate; parquet answers it from statistics where the columns are plain
-        row = self.positions.agg(F.max("pos"), F.min("ts"), F.max("ts")).first()
-        return Axis(self.positions, row[0] or 0, row[1], row[2])
+        # one small aggregate; distinct positions 1..n have this count, ends and sum
+        row = self.positions.agg(F.max("pos"), F.min("ts"), F.max("ts"), F.min("pos"), F.count(F.lit(1)), F.sum(F.col("pos").cast("decimal(38,0)"))).first()
+        n = row[0] or 0
+        if (row[4], row[3] or 0, int(row[5] or 0)) != (n, min(n, 1), n * (n + 1) // 2):
+            raise ValueError("positions must be 1, 2, 3, ... without gaps")
+        return Axis(self.positions, n, row[1], row[2])
+
+    def check_order(self) -> None:
+        """Raises if a time lies before that of an earlier position, or some positions have none."""
+        n = self.axis.n
+        part = F.floor(F.col("pos") / RANGE_ROWS)
+        told = self.positions.select("pos", "ts", part.alias("part"))
+        before = F.lag("ts").over(Window.partitionBy("part").orderBy("pos"))
+        within = told.withColumn("before", before).groupBy("part").agg(
+            F.max(F.col("ts") < F.col("before")).alias("bad"), F.min("ts").alias("low"), F.max("ts").alias("high"), F.count("ts").alias("timed")
+        )
+        # one row for each RANGE_ROWS positions
+        got = within.withColumn("before", F.max("high").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+        bad, timed = got.agg(F.max(F.coalesce("bad", F.lit(False)) | F.coalesce(F.col("low") < F.col("before"), F.lit(False))), F.sum("timed")).first()
+        if bad:
+            raise ValueError("times must not decrease")
+        if timed not in (None, 0, n):
+            raise ValueError("either all positions have a time or none has")
 
     def relation(self, name: str, arity: int, sorts: list[str]) -> DataFrame:
         """pos, a0, a1, ... of a predicate's facts, and ts where it is at hand; the number of arguments must agree."""
@@ -55,9 +75,12 @@ class Trace:
     @classmethod
     def from_events(cls, spark: SparkSession, events: Iterable, timed: bool | None = None) -> Trace:
         """Events in order: each a dict of predicate -> argument tuples, or (dict, time)."""
-        facts, positions = [], []
+        facts, positions, latest = [], [], None
         for pos, event in enumerate(events, 1):
             event, ts = event if isinstance(event, tuple) else (event, None)
+            if latest is not None and ts is not None and ts < latest:
+                raise ValueError(f"the time of event {pos} lies before that of an earlier one")
+            latest = ts if ts is not None else latest
             positions.append((pos, ts))
             for pred, rows in event.items():
                 facts += [(pos, ts, pred, [str(a).lower() if isinstance(a, bool) else str(a) for a in row]) for row in rows]
@@ -88,34 +111,36 @@ def trace_of_text(spark: SparkSession, text: str, timed: bool = False) -> Trace:
 
 
 def read_log(spark: SparkSession, path: str, timed: bool = False) -> Trace:
-    """A CSV log: one fact a line, one line a position, the last column the time if timed.
+    """A CSV log, a file or a folder of them: one fact a line, one line a position, the last column the time if timed.
 
-    Lines are parsed where they lie; positions come from the line order: lines are counted a
-    partition at a time, and each partition's start is the sum of those before it.
+    Files follow each other by name, lines by their place. Lines are parsed where they lie and
+    counted a file split at a time; a split's first position is the sum of those before it.
     """
     import pyarrow as pa
 
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), "value")
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), *where, "value")
 
     def parse(batches):
         for batch in batches:
-            ids, ts, pred, args = [], [], [], []
-            for i, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            place, ts, pred, args = [], [], [], []
+            for i, line in enumerate(batch.column(3).to_pylist()):
                 for p, a, t in read_rows([line], timed):
-                    ids.append(i)
+                    place.append(i)
                     ts.append(t)
                     pred.append(p)
                     args.append(a)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), pa.array(pred, pa.string()), pa.array(args, pa.list_(pa.string()))], ["id", "ts", "pred", "args"])
-
-    rows = lines.mapInArrow(parse, "id long, ts long, pred string, args array<string>").cache()
-    from pyspark.sql import Window
-
-    part = F.shiftright("id", 33)
-    count = rows.groupBy(part.alias("part")).count()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file split
-    starts = count.select(F.col("part").alias("_part"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("id"))
-    facts = rows.withColumn("part", part).withColumn("place", place).join(F.broadcast(starts), F.col("part") == F.col("_part"))
-    facts = facts.select((F.col("place") + F.col("start")).alias("pos"), "ts", "pred", "args")
-    return Trace(facts.select("pos", "ts"), facts)
+            kept = batch.select([0, 1, 2]).take(pa.array(place, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ts, pa.int64()), pa.array(pred, pa.string()), pa.array(args, pa.list_(pa.string()))], ["id", "file", "start", "ts", "pred", "args"])
+
+    rows = lines.mapInArrow(parse, "id long, file string, start long, ts long, pred string, args array<string>")
+    before = Window.partitionBy(F.lit(0)).orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # one row a file split
+    count = rows.groupBy("file", "start").count()
+    starts = count.select(F.col("file").alias("_file"), F.col("start").alias("_start"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "start").orderBy("id"))
+    facts = rows.withColumn("place", place).join(starts, (F.col("file") == F.col("_file")) & (F.col("start") == F.col("_start")))
+    facts = facts.select((F.col("place") + F.col("before")).alias("pos"), "ts", "pred", "args")
+    trace = Trace(facts.select("pos", "ts"), facts)
+    if timed:
+        trace.check_order()
+    return trace
