@@ -351,7 +351,7 @@ def oldest(guard: Rel, asked: Witness, axis: Axis) -> DataFrame:
     far = (axis.last or 0) - (axis.first or 0) + 1
     high = F.lit(far if asked.high is None else asked.high)
     places, times = ((1, axis.n), (axis.first or 0, axis.last or 0)) if sign > 0 else ((-axis.n, -1), (-(axis.last or 0), -(axis.first or 0)))
-    ask = got.withColumn("_k", F.lit(1)).withColumn("_from", F.coalesce(F.least("_e", "_o"), F.lit(places[0]).cast("long")))
+    ask = got.withColumn("_k", F.lit(1)).withColumn("_from", F.when(F.col("_e").isNotNull(), F.least("_e", "_o")).otherwise(F.lit(places[0]).cast("long")))
     both = ask.unionByName(tell, allowMissingColumns=True)
     told = F.col("_k") == 0
     first = {"1": ("min", F.when(told, F.col("_o")), True), "2": ("min", F.when(told, F.col("_s")), True)}
