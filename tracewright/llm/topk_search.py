@@ -327,18 +327,20 @@ def _one_block(spark, block: dict[int, Queries], blocks: DataFrame, lists: DataF
     def resolve(known):
         def act(mine: pa.Table, told: pa.Table) -> pa.Table:
             number, ids, score = (np.zeros(0, np.int64),) * 3
+            names = number
             if mine.num_rows and told.num_rows:
                 row = mine.to_pylist()[0]
                 all_ids = np.frombuffer(row["ids"], np.int64)
                 x = np.frombuffer(row["data"], np.float64).reshape(len(all_ids), -1) if row["n"] else np.zeros((len(all_ids), 0))
                 number, ids, score = resolved(told["payload"].to_pylist(), known.value, all_ids, x, k)
-            return pa.table([pa.array(number), pa.array(ids), pa.array(score)], ["number", "vec_id", "score"])
+                names = known.value[row["n"]].ids[number - known.value[row["n"]].first]
+            return pa.table([pa.array(number), pa.array(names), pa.array(ids), pa.array(score)], ["number", "query_id", "vec_id", "score"])
 
         return act
 
     def met(messages: DataFrame, known) -> DataFrame:
         right = messages.repartition(tasks, "place").groupBy("place")
-        return blocks.repartition(tasks, "place").groupBy("place").cogroup(right).applyInArrow(resolve(known), "number long, vec_id long, score long")
+        return blocks.repartition(tasks, "place").groupBy("place").cogroup(right).applyInArrow(resolve(known), "number long, query_id long, vec_id long, score long")
 
     best = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     few = met(lists.mapInArrow(local, MESSAGE), shared)
@@ -360,14 +362,7 @@ def _one_block(spark, block: dict[int, Queries], blocks: DataFrame, lists: DataF
                     if len(query):
                         yield from _sent([(row["place"], pack(query, at))])
 
-    names = {mine.first + i: int(q) for mine in block.values() for i, q in enumerate(mine.ids.tolist())}
-    known_ids = np.array([names[i] for i in range(len(names))], np.int64)
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(known_ids[batch.column(0).to_numpy()]), batch.column(1), batch.column(2)], ["query_id", "vec_id", "score"])
-
-    found = checkpointed(met(lists.mapInArrow(collect, MESSAGE), told).mapInArrow(name, "query_id long, vec_id long, score long"))
+    found = checkpointed(met(lists.mapInArrow(collect, MESSAGE), told).select("query_id", "vec_id", "score"))
     shared.unpersist()
     told.unpersist()
     return found
