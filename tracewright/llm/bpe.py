@@ -35,7 +35,7 @@ NOT_NUMBERS = "\\U00011de0-\\U00011de9\\U0001246f\\U00012475-\\U0001247f\\U00012
 NO_RANK = np.iinfo(np.int64).max
 #: Pieces up to this many bytes are worked in rows together, and are kept.
 SHORT = 48
-KEEP = 1 << 19
+KEEP = 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -283,6 +283,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 packed = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), count, packed, pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
                 a = b
+        # a worker may stay for other stages, which need its memory
+        engine.kept.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(act, "doc_id long, n_tokens long, ids binary, decoded string")
