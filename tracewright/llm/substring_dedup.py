@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +109,11 @@ class Part:
         return repeated
 
 
+def ordered(table: pa.Table) -> pa.Table:
+    """A part's rows in an order of their own: a shuffle may deliver them differently in each turn."""
+    return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+
+
 def answer(buckets: int):
     def act(table: pa.Table) -> pa.Table:
         """For one bucket: one bit a sent key, set if another part sent the same. Messages of a part to itself go back as they are."""
@@ -156,16 +162,19 @@ def substring_dedup(docs: DataFrame, window: int = 35, base: int = 9, id_col: st
         """What a part does before a level is compared."""
 
         def first(table: pa.Table) -> pa.Table:
+            table = ordered(table)
             part = Part(A.column(table, "text"), sizes, width)
             return part.ask(table["part"][0].as_py(), 0, part.candidates(0, None), buckets)
 
         def later(table: pa.Table, heard: pa.Table) -> pa.Table:
+            table = ordered(table)
             part, name = Part(A.column(table, "text"), sizes, width), table["part"][0].as_py()
             return part.ask(name, level, part.candidates(level, part.hear(name, level - 1, heard, buckets)), buckets)
 
         return later if level else first
 
     def last(table: pa.Table, heard: pa.Table) -> pa.Table:
+        table = ordered(table)
         part = Part(A.column(table, "text"), sizes, width)
         repeated = part.hear(table["part"][0].as_py(), len(sizes) - 1, heard, buckets)
         n, docs_n = len(part.start), len(part.off) - 1
