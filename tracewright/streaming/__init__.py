@@ -1 +1 @@
-"""Keyed properties over streams."""
+"""Structured Streaming form of the monitor."""
