@@ -40,8 +40,8 @@ def part_count(total: int) -> int:
 
 
 def tasks(parts: int) -> int:
-    """Shuffle partitions for so many parts."""
-    return min(MOST_TASKS, max(12, parts))
+    """Shuffle partitions for so many parts; one holds a few of them."""
+    return min(MOST_TASKS, max(12, parts // 3))
 
 
 def deal(docs: DataFrame, parts: int) -> DataFrame:
