@@ -244,7 +244,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, id_c
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, text_col: str = "text", **columns: str) -> DataFrame:
-    """The rows of docs without a leak, with all their columns."""
+    """The rows of docs without a leak (find_leaks), with all their columns, whatever their names.
+
+    Rows are judged by their texts alone, so ids may be null or repeated; null and empty texts
+    stay, and so do all where the benchmark is empty. An empty table gives no rows. A benchmark
+    of several shards is one pass over docs each; an index is a broadcast of at most
+    SHARD_ITEMS items and about SHARD_WORDS words.
+    """
     names = {"item_col": "item_id", "question_col": "text", "answer_col": None} | columns
     schema = docs.schema
     for index in indexes(benchmark, overlap, **names):

@@ -32,7 +32,6 @@ CLASSES[128:] = 4
 LEVELS = 12
 #: Bytes of a word's beginning that are features of their own.
 BEGINNINGS = (4, 5)
-STYLES = ("capitals", "marks", "inner", "repeats", "pipes", "digits", "length", "distinct", "longest", "lines", "size")
 
 
 def _level(share: np.ndarray) -> np.ndarray:
