@@ -283,22 +283,30 @@ class Witness:
     breaks: Rel | None = None
 
 
+def _stamped(rel: Rel, axis: Axis, asked: Witness) -> DataFrame:
+    """A point relation's rows with their times in s, which are null where the question has no time bound."""
+    if asked.low == 0 and asked.high is None:
+        return rel.df if rel.stamp else rel.df.withColumn("s", F.lit(None).cast("long"))
+    axis.timed()
+    return rel.df if rel.stamp else axis.at(rel.df, "f", "s")
+
+
 def newest(guard: Rel, asked: Witness, axis: Axis) -> DataFrame:
     """The guard's rows with their place and time _o, _s, and _w, _ws of the newest witness that is old enough; _e: where the last break so far ends.
 
-    Places and times are negative where the future is asked. One scan a key finds all.
+    Places and times are negative where the future is asked; without a bound, times are null.
+    One scan a key finds all.
     """
-    axis.timed()
     sign = -1 if asked.future else 1
     mine, breaks = asked.points, asked.breaks
-    now = guard.df if guard.stamp else axis.at(guard.df, "f", "s")
-    then = mine.df if mine.stamp else axis.at(mine.df, "f", "s")
+    now, then = (_stamped(rel, axis, asked) for rel in (guard, mine))
     ask = now.select(*guard.df.columns, (F.col("f") * sign).alias("_o"), (F.col("s") * sign).alias("_s"), F.lit(2).alias("_k"))
     tell = then.select(*mine.keys, (F.col("f") * sign).alias("_o"), (F.col("s") * sign).alias("_s"), F.lit(3 if asked.strict else 1).alias("_k"))
     told = F.col("_k") != 2
     places = (1, axis.n) if sign > 0 else (-axis.n, -1)
     times = (axis.first or 0, axis.last or 0) if sign > 0 else (-(axis.last or 0), -(axis.first or 0))
-    found = {"_w": ("max", F.when(told & F.col("_s").isNotNull(), F.col("_o")), True), "_ws": ("max", F.when(told, F.col("_s")), True)}
+    witness = told & (F.col("_k") > 0)
+    found = {"_w": ("max", F.when(witness, F.col("_o")), True), "_ws": ("max", F.when(witness, F.col("_s")), True)}
     last = {"_e": ("max", F.when(F.col("_k") == 0, F.col("_end")), True)}
     together = breaks is not None and breaks.keys == mine.keys
     both = ask.unionByName(tell, allowMissingColumns=True)

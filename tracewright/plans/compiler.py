@@ -547,7 +547,12 @@ class Compiler:
         right = self.evaluate(f.right, given)
         left = TRUE if f.left is None else self.evaluate(f.left, given)
         if op == "Z" and f.bound is None:
-            return all_of([left, self.past("@", TRUE, self.past("S", left, right, None, axis, False, given), None, axis, False, given)])
+
+            def stepwise():
+                return all_of([left, self.past("@", TRUE, self.past("S", left, right, None, axis, False, given), None, axis, False, given)])
+
+            asked = self.lazy(left, right, None, True, False, given, [], lambda: self.finite(stepwise(), given))
+            return stepwise() if asked is None else asked
         return self.past({"X": "@", "F": "P", "U": "S"}.get(op, op), left, right, f.bound, axis, future, given)
 
     def past(self, op: str, left, right, bound, axis: Axis, future: bool, given: dict):
@@ -578,17 +583,16 @@ class Compiler:
         finite, plain = self.form(right, given)
         w = turn(plain)
         lack = [x for x in ends if x not in w.vars]
-        if bound is not None and timed and finite and plain.points and all(x in given for x in lack):
-            breaks = None if left == TRUE else self.form(left, given)
-            if breaks is None or not breaks[0] and set(breaks[1].vars) <= set(plain.vars):
-                asked = R.Witness(plain, *(col(x) if isinstance(x, str) else x for x in (bound.low, bound.high)), future, strict, None if breaks is None else breaks[1])
+        if timed or left != TRUE:
 
-                def make():
-                    far = self.expand(w, lack, given) if lack else w
-                    got = self.once(True, far, low, high, True, axis) if left == TRUE and not strict else self.since(left, far, low, high, True, strict, axis, form)
-                    return flip(got).rel
+            def make():
+                far = self.expand(w, lack, given) if lack else w
+                got = self.once(True, far, low, high, timed, axis) if left == TRUE and not strict else self.since(left, far, low, high, timed, strict, axis, form)
+                return flip(got).rel
 
-                return Within(asked, tuple(lack), make)
+            asked = self.lazy(left, right, bound, strict, future, given, lack, make)
+            if asked is not None:
+                return asked
         if lack:
             w = self.expand(w, lack, given)
         if left == TRUE and not strict:
@@ -601,6 +605,17 @@ class Compiler:
             return flip(any_of([all_of([Neg(Lit(field)), outside]), inside]))
         return flip(self.since(left, w, low, high, timed, strict, axis, form))
 
+    def lazy(self, left, right, bound, strict: bool, future: bool, given: dict, lack: list, make):
+        """The operator as a question to a guard's points, where its witnesses are points and its breaks have no further variables."""
+        finite, points = self.form(right, given)
+        if not (finite and points.points and all(x in given for x in lack)):
+            return None
+        breaks = None if left == TRUE else self.form(left, given)
+        if breaks is not None and (breaks[0] or not set(breaks[1].vars) <= set(points.vars)):
+            return None
+        low, high = (0, None) if bound is None else (col(x) if isinstance(x, str) else x for x in (bound.low, bound.high))
+        return Within(R.Witness(points, low, high, future, strict, None if breaks is None else breaks[1]), tuple(lack), make)
+
     def once(self, finite: bool, w: Rel, low, high, timed: bool, axis: Axis):
         if not timed:
             return Lit(R.once(w, axis)) if finite else Neg(Lit(R.from_start(w, axis)))
