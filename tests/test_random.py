@@ -99,3 +99,22 @@ def test_two_variables(spark, seed):
             e.setdefault("e", [("2",)])
         cases.append((f, events, {"x": "String", "y": "String"}, {"String": ["1", "2", "#1", "#2", "#3"]}))
     check(spark, cases)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cut_scans(spark, monkeypatch, seed):
+    """The same with scans cut in ranges of two rows, keyed ones, too."""
+    from tracewright.operators import relation
+
+    for name, value in (("RANGE_ROWS", 2), ("HOT_ROWS", 3), ("FINE", 2), ("CUTS", 2)):
+        monkeypatch.setattr(relation, name, value)
+    rng = random.Random(300 + seed)
+    cases = []
+    for _ in range(3):
+        f = formula(rng, 1, lambda r: Pred(r.choice("pqr")))
+        cases.append((f, naive.random_events(rng, [("p", 0), ("q", 0), ("r", 0)], ["-"]), {}, {}))
+        body = formula(rng, 1, lambda r: Pred(r.choice("bc"), (Var("x"),)))
+        f = Quant("Forall", "x", Logic("->", Pred("a", (Var("x"),)), body))
+        events = naive.random_events(rng, [("a", 1), ("b", 1), ("c", 1)], ["1", "2"], 8)
+        cases.append((f, events, {"x": "String"}, {"String": ["1", "2", "#1"]}))
+    check(spark, cases)

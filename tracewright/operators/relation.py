@@ -15,6 +15,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.storage import checkpointed
+
 #: Rows of a scan without a key in one range, about; up to so many positions it is not cut.
 RANGE_ROWS = 1_000_000
 #: Ranges of positions at least, where they are the key of a join.
@@ -86,6 +88,7 @@ def running(df: DataFrame, keys: list[str], by: str, tie: Column, span: tuple[in
         window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         return df.select("*", *(fold[fn][0](x).over(frame(window, own)).alias(name) for name, (fn, x, own) in out.items()))
     ranges = min(MOST_RANGES, -(-n // RANGE_ROWS))
+    df = checkpointed(df)  # it is read two or three times below, and so would be all before it
     df = ranged(df, by, span, ranges) if keys else even_ranges(df, by, span, ranges)
     local = df.select("*", *(fold[fn][0](x).over(frame(Window.partitionBy(*keys, "_b"), own)).alias(name) for name, (fn, x, own) in out.items()))
     summary = df.groupBy(*keys, "_b").agg(*(fold[fn][0](x).alias(f"_s_{name}") for name, (fn, x, _) in out.items()))

@@ -10,7 +10,7 @@ range over infinite sorts: what all but finitely many values satisfy, some value
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property, lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ from tracewright.operators.relation import Axis, Rel, col, cols
 from tracewright.plans.formula import Arith, Call, Compare, Const, Logic, Matches, Not, Pred, Quant, Temporal, Truth, Var, free_vars, show, term_vars, terms, walk
 from tracewright.sources.trace import Trace, typed
 
+#: Results of a Python function or pattern that a worker keeps.
+KEPT = 1 << 14
 SPARK = {"String": T.StringType(), "Int": T.LongType(), "Real": T.DoubleType(), "Bool": T.BooleanType()}
 
 
@@ -137,8 +139,8 @@ class Compiler:
         loaded: dict = {}
 
         def run(*values):
-            if "f" not in loaded:
-                loaded["f"] = fn.callable()
+            if "f" not in loaded:  # functions are pure: a worker keeps what it has computed
+                loaded["f"] = lru_cache(KEPT)(fn.callable())
             return loaded["f"](*values)
 
         given = [self.term(a).cast(SPARK[s]) for a, s in zip(args, fn.args, strict=True)]
@@ -155,6 +157,7 @@ class Compiler:
                 return simple
             parts, holes = segments(atom.pattern, atom.slashed), [h for h, _ in atom.holes]
 
+            @lru_cache(KEPT)
             def fits(subject, *given):
                 return bool(decompose(parts, subject, dict(zip(holes, given, strict=True))))
 
@@ -197,6 +200,7 @@ class Compiler:
         bound = [h for h, t in holes if term_vars(t) <= known]
         new = [(h, t) for h, t in holes if h not in bound]
 
+        @lru_cache(KEPT)
         def every(subject, *given):
             fixed = dict(zip(bound, given, strict=True))
             return [[d[h] for h, _ in new] for d in decompose(parts, subject, fixed)]
