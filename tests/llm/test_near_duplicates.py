@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm import brute
-from tracewright.llm.near_duplicates import drop_near_duplicates, near_duplicates, shingle_set
+from tracewright.llm.near_duplicates import Spreads, drop_near_duplicates, near_duplicates, packed, shingle_set, spread_of, unpacked
 
 
 def words(rng, n):
@@ -87,3 +88,22 @@ def test_one_row_a_group(spark):
     assert kept == [(0, 5), (0, 6), (2, 3), (5, 2), (7, 7), (11, 9)]
     assert drop_near_duplicates(docs).columns == docs.columns
     assert drop_near_duplicates(docs.where("false")).count() == 0
+
+
+def test_a_table_against_all_pairs(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    assert got(spark, rows) == groups(rows)
+
+
+def test_counts_bound_what_is_shared():
+    """The counts never say less than two sets share, whatever their sizes up to a factor of 1.25."""
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 15, 16, 17, 63, 64, 500, 1000, 20_000):
+        a = np.unique(rng.integers(0, 1 << 40, n, dtype=np.int64)).astype(np.uint64)
+        for share in (0.0, 0.5, 1.0):
+            more = np.unique(rng.integers(0, 1 << 40, max(1, n // 5), dtype=np.int64)).astype(np.uint64)
+            b = np.unique(np.r_[a[: int(len(a) * share)], rng.integers(0, 1 << 40, int(len(a) * (1 - share)) + 1, dtype=np.int64).astype(np.uint64), more[: len(a) // 5]])
+            small, large = sorted((a, b), key=len)
+            most = Spreads([spread_of(small), spread_of(large)]).shared(0, np.array([1]))[0]
+            assert len(np.intersect1d(a, b)) <= most <= len(small)
+            assert np.array_equal(unpacked(pa.array([packed(small), b"", packed(large)], pa.binary()))[2], large)

@@ -1,11 +1,12 @@
 """Near-duplicates: SimHash BK-trees, verified, and an exact way for the links that they miss.
 
-Texts of the same words are collapsed first; each text left is a node with the sorted set of
-its shingles (40 bits of a hash each) in a written table. Nodes with the same least shingle
-meet in a shard's BK-tree (operator 3's), and pairs within its radius are verified on their
-shingles. That finds most links. Every pair left shares a shingle of its prefixes, so nodes
-are grouped by those; groups that the trees joined already are dropped, members without a
-partner by size and 128 counts go, and the shingles of the rest alone are sent and verified.
+Equal texts are collapsed first; each text left is a node with the sorted set of its shingles
+(40 bits of a hash each) in a written table. Nodes with the same least shingle meet in a
+shard's BK-tree (operator 3's), and pairs within its radius are verified on their shingles.
+That finds most links. What is left is looked for in groups of nodes that are not all joined
+yet: first of those with another least hash in common, then of those that share a shingle of
+their prefixes, as every similar pair does. Members without a possible partner, by size and
+by counts of hashes, are dropped; the shingles of the rest alone are sent and verified.
 """
 
 from __future__ import annotations
@@ -18,23 +19,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
-from tracewright.llm._links import checkpointed, components, hot_join, remove, shared_out, small, table_folder
+from tracewright.llm._links import FEW_ROWS, bounded_batches, checkpointed, components, hot_join, remove, shared_out, small, table_folder
 from tracewright.llm.simhash import Forest, fingerprint, shingle_hashes, trees
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of a shingle's hash that are kept: two unlike shingles are taken for one with a chance of 2**-40.
 WIDTH = 5
 #: Nodes, and bytes of shingles, that a task holds at a time, on average.
 SHARD_NODES, SHARD_BYTES = 2_000, 8 << 20
+#: Texts whose shingles are made at a time, in bytes.
+SLICE_BYTES = 4 << 20
 #: Pairs of a query and a tree's node that are held at a time.
 FRONTIER = 1 << 18
-SCHEMA = "node binary, first long, fp long, key long, shingles binary"
+#: Least hashes of each set: by the first all nodes meet in trees, by the others those that are left.
+KEYS = 5
+SCHEMA = "node binary, first long, fp long, keys array<long>, spread binary, shingles binary"
 
 
-def same_words(text: Column) -> Column:
-    """128 bits that texts of the same words (A-Z lower-cased) share."""
-    bare = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
-    return F.unhex(F.md5(bare))
+def same_text(text: Column) -> Column:
+    """128 bits that equal texts share; null is empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def packed(s: np.ndarray) -> bytes:
@@ -88,17 +91,37 @@ class Label:
 
 
 def spread_of(s: np.ndarray) -> np.ndarray:
-    """How many hashes of a set have each value of the lower seven bits."""
-    return np.bincount((s & A.U64(127)).astype(np.int64), minlength=128).astype(np.int32)
+    """How many hashes of a set have each value of their lower bits: of so many that a value has two to four."""
+    values = 1 << max(5, min(13, (len(s) // 2).bit_length()))
+    return np.bincount((s & A.U64(values - 1)).astype(np.int64), minlength=values).astype(np.uint16)
 
 
 def _spread_bytes(s: np.ndarray) -> bytes:
     n = spread_of(s)
-    return (n.astype(np.uint8) if n.max() < 256 else n).tobytes()
+    return b"\1" + n.astype(np.uint8).tobytes() if n.max() < 256 else b"\2" + n.tobytes()
 
 
-def _spreads(values: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.uint8 if len(x) == 128 else np.int32).astype(np.int32) for x in values.to_pylist()])
+def _spreads(values: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint8 if x[0] == 1 else np.uint16, offset=1).astype(np.uint16) for x in values.to_pylist()]
+
+
+class Spreads:
+    """The counts of a group's sets, side by side with those of half and twice as many values."""
+
+    def __init__(self, each: list[np.ndarray]):
+        self.bits = np.fromiter((len(x).bit_length() - 1 for x in each), np.int64, len(each))
+        self.rows, self.place = {}, {}
+        for b in np.unique(self.bits).tolist():
+            mine = np.flatnonzero((self.bits == b) | (self.bits == b + 1))
+            self.rows[b] = np.stack([each[i] if len(each[i]) == 1 << b else each[i][: 1 << b] + each[i][1 << b :] for i in mine.tolist()])
+            self.place[b] = np.full(len(each), -1, np.int64)
+            self.place[b][mine] = np.arange(len(mine))
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """What a set has in common with larger ones (up to twice its size) at most."""
+        b = int(self.bits[i])
+        rows, place = self.rows[b], self.place[b]
+        return np.minimum(rows[place[others]], rows[place[i]]).sum(axis=1, dtype=np.int64)
 
 
 def _reach(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -118,34 +141,35 @@ def _groups(group: np.ndarray, size: np.ndarray):
 
 
 def verify(group: np.ndarray, sets: list[np.ndarray], label: Label, similarity: float) -> None:
-    """Joins all that similar pairs of one group reach, but for pairs that size, 128 counts or an earlier link rule out."""
+    """Joins all that similar pairs of one group reach, but for pairs that size, counts or an earlier link rule out."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     for some in _groups(group, size):
         if (label.top[some] == label.top[some[0]]).all():
             continue
-        n, spread = size[some], np.stack([spread_of(sets[i]) for i in some.tolist()])
+        n, spreads = size[some], Spreads([spread_of(sets[i]) for i in some.tolist()])
         upto = _reach(n, similarity)
         for k in range(len(some) - 1):
             rest = np.arange(k + 1, max(k + 1, int(upto[k])))
             rest = rest[label.top[some[rest]] != label.top[some[k]]]
             if len(rest):
-                most = np.minimum(spread[rest], spread[k]).sum(axis=1)
-                near = some[rest[_hopeful(most, n[rest], int(n[k]), similarity)]]
+                near = some[rest[_hopeful(spreads.shared(k, rest), n[rest], int(n[k]), similarity)]]
                 label.link(np.full(len(near), some[k]), near, sets, similarity)
 
 
-def with_partner(group: np.ndarray, root: np.ndarray, spread: np.ndarray, similarity: float) -> np.ndarray:
-    """Which places have a partner of another root in their group that size and spread leave."""
-    out, size = np.zeros(len(group), dtype=bool), spread.sum(axis=1, dtype=np.int64)
+def with_partner(group: np.ndarray, root: np.ndarray, spread: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which places have a partner of another root in their group that size and counts leave."""
+    out, size = np.zeros(len(group), dtype=bool), np.fromiter((int(x.sum(dtype=np.int64)) for x in spread), np.int64, len(spread))
     for some in _groups(group, size):
-        n = size[some]
+        if (root[some] == root[some[0]]).all():
+            continue
+        n, spreads = size[some], Spreads([spread[i] for i in some.tolist()])
         upto = _reach(n, similarity)
         for k in range(len(some) - 1):
-            rest = some[k + 1 : max(k + 1, int(upto[k]))]
-            rest = rest[root[rest] != root[some[k]]]
+            rest = np.arange(k + 1, max(k + 1, int(upto[k])))
+            rest = rest[root[some[rest]] != root[some[k]]]
             if len(rest):
-                near = rest[_hopeful(np.minimum(spread[rest], spread[some[k]]).sum(axis=1), size[rest], int(n[k]), similarity)]
-                out[near] = True
+                near = rest[_hopeful(spreads.shared(k, rest), n[rest], int(n[k]), similarity)]
+                out[some[near]] = True
                 out[some[k]] |= len(near) > 0
     return out
 
@@ -218,21 +242,37 @@ def prefix_groups(nodes: DataFrame, similarity: float, count: int) -> DataFrame:
     return keyed.groupBy("shard").applyInArrow(meet, "grp long, id long").distinct()
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    """node, first (the least doc_id) and text of each distinct text.
+
+    Where no row is repeated and few are copies, the copies are told by their ids and no text
+    is shuffled; else the texts are grouped.
+    """
+    pairs = checkpointed(rows.select("doc_id", "node").groupBy("doc_id", "node").count())
+    copied = pairs.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "first")
+    copies = checkpointed(pairs.join(small(checkpointed(copied)), "node").where("doc_id <> first").select("doc_id", "node"))
+    if pairs.where("count > 1").limit(1).count() == 0 and copies.count() <= FEW_ROWS:
+        return rows.join(F.broadcast(copies), ["doc_id", "node"], "left_anti").select("node", F.col("doc_id").alias("first"), "text")
+    return rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("text").alias("text"))
+
+
 def _nodes(rows: DataFrame, shingle: int, path: str) -> DataFrame:
-    """The table of nodes, written at the path: id, node, first (the least doc_id), fp, key (the least shingle) and shingles."""
+    """The table of nodes, written at the path: id, node, first, fp, keys (least hashes), spread and shingles."""
 
     def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, key, sets = [], [], []
-            for x in batch.column(2):
-                s, cut = shingle_set((x.as_py() or "").encode(), shingle)
-                fp.append(fingerprint(s))
-                key.append(int(s[:1].view(np.int64)[0]) if len(s) else None)
-                sets.append(packed(cut))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(key, pa.int64()), pa.array(sets, pa.binary())], ["node", "first", "fp", "key", "shingles"])
-
-    one = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("text").alias("text"))
-    one.select("node", "first", "text").mapInArrow(act, SCHEMA).withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
+            for part in A.slices(batch, "text", SLICE_BYTES):
+                fp, keys, spreads, sets = [], [], [], []
+                for x in part.column(2):
+                    s, cut = shingle_set((x.as_py() or "").encode(), shingle)
+                    fp.append(fingerprint(s))
+                    keys.append([int((s if k == 0 else A.mix(s + A.U64(k))).min().view(np.int64)) for k in range(KEYS)] if len(s) else [])
+                    spreads.append(_spread_bytes(cut))
+                    sets.append(packed(cut))
+                made = [pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(spreads, pa.binary()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["node", "first", "fp", "keys", "spread", "shingles"])
+
+    _one_each(rows).mapInArrow(act, SCHEMA).withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
@@ -248,51 +288,60 @@ def _tree_links(nodes: DataFrame, shards: int, radius: int, similarity: float, b
                 label.link(a[near], b[near], sets, similarity)
         return label.edges(name)
 
-    cut = shared_out(nodes.where("key is not null").select("id", "fp", "key", "shingles"), ["key"], F.xxhash64("id"), block_rows)
+    keyed = nodes.where("size(keys) > 0").select("id", "fp", F.get("keys", F.lit(0)).alias("key"), "shingles")
+    cut = shared_out(keyed, ["key"], F.xxhash64("id"), block_rows)
     shard = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(shards).cast("long"))
     return cut.withColumn("shard", shard).groupBy("shard").applyInArrow(link, "a long, b long")
 
 
-def _other_links(nodes: DataFrame, roots: DataFrame, count: int, similarity: float, block_rows: int) -> DataFrame:
-    """Links between nodes of different roots, by their prefixes."""
-
-    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_spread_bytes(s) for s in unpacked(batch.column(1))], pa.binary())], ["id", "spread"])
+def _group_links(nodes: DataFrame, groups: DataFrame, roots: DataFrame, similarity: float, block_rows: int) -> DataFrame:
+    """Links between nodes of different roots in the groups (grp, id)."""
 
     def prune(table: pa.Table) -> pa.Table:
         keep = with_partner(trees(table, ("grp", "lo", "hi")), A.column(table, "root").to_numpy(), _spreads(A.column(table, "spread")), similarity)
         return table.select(["grp", "id", "root", "lo", "hi"]).filter(pa.array(keep))
 
     def link(table: pa.Table) -> pa.Table:
-        # nodes that the BK-trees joined share a label
+        # nodes that were joined before share a label
         _, first, same = np.unique(A.column(table, "root").to_numpy(), return_index=True, return_inverse=True)
         label = Label(first[same])
         verify(trees(table, ("grp", "lo", "hi")), unpacked(A.column(table, "shingles")), label, similarity)
         return label.edges(A.column(table, "id").to_numpy())
 
-    groups = checkpointed(prefix_groups(nodes, similarity, count))
-    told = groups.join(roots.withColumnRenamed("node", "id"), "id", "left").select("grp", "id", F.coalesce("root", "id").alias("root"))
+    told = checkpointed(groups.join(roots.withColumnRenamed("node", "id"), "id", "left").select("grp", "id", F.coalesce("root", "id").alias("root")))
     # groups of one component alone have nothing left to join
     apart = told.groupBy("grp").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("grp")
     left = checkpointed(told.join(apart, "grp", "left_semi"))
-    shard = F.pmod(F.xxhash64("grp", "lo", "hi"), F.lit(max(24, left.count() // SHARD_NODES)).cast("long"))
-    slim = shared_out(left, ["grp"], F.xxhash64("id"), block_rows).join(nodes.select("id", "shingles").mapInArrow(light, "id long, spread binary"), "id")
+    count = left.count()
+    shard = F.pmod(F.xxhash64("grp", "lo", "hi"), F.lit(max(24, count // SHARD_NODES)).cast("long"))
+    slim = shared_out(left, ["grp"], F.xxhash64("id"), block_rows).join(nodes.select("id", "spread"), "id")
     slim = checkpointed(slim.withColumn("shard", shard).groupBy("shard").applyInArrow(prune, "grp long, id long, root long, lo long, hi long"))
     wanted = checkpointed(slim.select("id").distinct())
     sets = nodes.select("id", "shingles").join(small(wanted), "id", "left_semi")
-    return slim.join(sets, "id").withColumn("shard", shard).groupBy("shard").applyInArrow(link, "a long, b long")
+    return checkpointed(slim.join(sets, "id").withColumn("shard", shard).groupBy("shard").applyInArrow(link, "a long, b long"))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots with further links taken in."""
+    return roots if links.isEmpty() else checkpointed(components(links.unionAll(roots.select("node", "root"))))
 
 
 def _components(rows: DataFrame, shingle: int, radius: int, similarity: float, block_rows: int) -> DataFrame:
     """node, first, root of each node; root is the least id of its component."""
+    bounded_batches(rows.sparkSession)
     path = table_folder(rows.sparkSession, "near-nodes")
     nodes = _nodes(rows, shingle, path)
     count, size = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0))).first()
     roots = checkpointed(components(_tree_links(nodes, max(24, count // SHARD_NODES, size // SHARD_BYTES), radius, similarity, block_rows)))
-    late = checkpointed(_other_links(nodes, roots, count, similarity, block_rows))
-    if not late.isEmpty():
-        roots = components(late.unionAll(roots.select("node", "root")))
+    keyed = nodes.select("id", F.posexplode("keys").alias("place", "key")).where("place > 0").select(F.xxhash64("place", "key").alias("grp"), "id")
+    keyed = checkpointed(keyed)
+    met = keyed.groupBy("grp").count().where("count > 1").select("grp")
+    roots = _joined(roots, _group_links(nodes, keyed.join(met, "grp", "left_semi"), roots, similarity, block_rows))
+    roots = _joined(roots, _group_links(nodes, prefix_groups(nodes, similarity, count), roots, similarity, block_rows))
+    # texts without shingles are one group
+    empty = nodes.where("size(keys) = 0").select("id")
+    bare = empty.join(F.broadcast(empty.agg(F.min("id").alias("b"))), F.col("id") > F.col("b")).select(F.col("id").alias("a"), "b")
+    roots = _joined(roots, checkpointed(bare))
     got = checkpointed(nodes.select("node", "first", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("node", "first", F.coalesce("root", "id").alias("root")))
     remove(rows.sparkSession, path)
     return got
@@ -308,7 +357,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 18, similar
     one document with several texts, in the group of the smallest component_id. Other columns
     are ignored, whatever their names. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null").withColumn("node", same_words(F.col("text")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null").withColumn("node", same_text(F.col("text")))
     rooted = _components(rows, shingle, radius, similarity, block_rows)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = checkpointed(hot_join(rooted, least, "root").select("node", "component_id"))
@@ -320,14 +369,15 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 18, si
     """One row of docs for each group of near-duplicate texts (near_duplicates' links), and all rows with a null id.
 
     The row with the smallest id stays; where that id has several texts of the group, one of
-    them, chosen by a hash; of rows with the same id and words one. All columns are kept,
+    them, chosen by a hash; of rows with the same id and text one. All columns are kept,
     whatever their names. Null texts count as empty. An empty table gives no rows.
     """
-    id_, words = F.col(id_col).cast("long"), same_words(F.col(text_col).cast("string"))
-    rows = docs.select(id_.alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null").withColumn("node", same_words(F.col("text")))
+    id_, words = F.col(id_col).cast("long"), same_text(F.col(text_col).cast("string"))
+    rows = docs.select(id_.alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null").withColumn("node", same_text(F.col("text")))
     rooted = _components(rows, shingle, radius, similarity, block_rows)
     keep = checkpointed(rooted.groupBy("root").agg(F.min(F.struct("first", "node")).alias("k")).select(F.col("k.first").alias("_id"), F.col("k.node").alias("_node")))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    one = docs.select(id_.alias("_id"), words.alias("_node"), row).where("_id is not null").groupBy("_id", "_node").agg(F.first("_row").alias("_row"))
-    got = one.join(keep, ["_id", "_node"], "left_semi").select("_row.*")
-    return got.unionByName(docs.where(F.col(id_col).isNull()))
+    one = docs.select(id_.alias("_id"), words.alias("_node"), row).where("_id is not null").join(small(keep), ["_id", "_node"], "left_semi")
+    if rows.select("doc_id", "node").groupBy("doc_id", "node").count().where("count > 1").limit(1).count():
+        one = one.groupBy("_id", "_node").agg(F.first("_row").alias("_row"))
+    return one.select("_row.*").unionByName(docs.where(F.col(id_col).isNull()))
