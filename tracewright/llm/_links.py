@@ -1,36 +1,30 @@
-"""Checkpoints, union by label and connected components."""
+"""Written tables, bounded broadcasts, union by label and connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.operators.storage import checkpointed, shared_folder
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the folder that spark.checkpoint.dir names (one of our own only where that is unset)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(_folder(spark))
-    return df.checkpoint(eager=True)
 
+#: Rows in an Arrow batch at most: texts may be long, and a batch is held whole on both sides.
+ARROW_ROWS = 1000
 
-def _folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a temporary folder, but for a local master alone."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named or os.path.join(tempfile.gettempdir(), "tracewright-checkpoints")
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_ROWS rows for this session, unless it asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def table_folder(spark: SparkSession, name: str) -> str:
     """A folder for a written table beside the checkpoints."""
-    return f"{_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:

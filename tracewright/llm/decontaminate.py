@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
+from tracewright.llm._links import bounded_batches
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -224,6 +225,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, id_c
     neither. Items of one id are indexed each, and the best counts. Rows of docs with the same
     or a null id are searched each. Empty tables give no rows.
     """
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
@@ -252,6 +254,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, t
     SHARD_ITEMS items and about SHARD_WORDS words.
     """
     names = {"item_col": "item_id", "question_col": "text", "answer_col": None} | columns
+    bounded_batches(docs.sparkSession)
     schema = docs.schema
     for index in indexes(benchmark, overlap, **names):
         shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
+from tracewright.llm._links import bounded_batches
 
 BITS = 18
 #: Rated documents that the model is fitted on, at most; they are the first by a hash of the id.
@@ -161,6 +162,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, top: int, level: int, fit_r
     0..top is left out; of several grades of one id the least counts. None where the sample
     has fewer than two grades.
     """
+    bounded_batches(docs.sparkSession)
     rated = ratings.select(F.col(id_col).cast("long").alias("_id"), F.col(grade_col).cast("int").alias("_grade")).where(F.col("_id").isNotNull() & F.col("_grade").between(0, top))
     some = rated.groupBy("_id").agg(F.min("_grade").alias("_grade")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
 
@@ -203,6 +205,7 @@ def rate_quality(docs: DataFrame, model: Ordinal | None, top: int, level: int, t
     Null text is empty. Without a model all rows get the top grade and probability 1. Weights
     go to the workers as a broadcast of a fixed size.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("expected_grade", "p_level")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "expected_grade double", "p_level double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)

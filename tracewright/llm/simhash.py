@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
-from tracewright.llm._links import checkpointed, components, hot_join, shared_out, union
+from tracewright.llm._links import bounded_batches, checkpointed, components, hot_join, shared_out, union
 
 SEED = 42
 
@@ -174,6 +174,7 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_co
     the component has an id. Repeated rows come out once each. Other columns are ignored,
     whatever their names. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     all_rows = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     each = checkpointed(all_rows.groupBy("fp").agg(F.min("doc_id").alias("first"), (F.count(F.lit(1)) - 1).alias("n_links")))
     roots = components(fingerprint_links(each.select("fp"), radius))

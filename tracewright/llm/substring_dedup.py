@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
 from tracewright.llm import _rounds as R
+from tracewright.llm._links import bounded_batches
 
 OUT = "doc_id long, n_words long, n_removed long, kept_text string"
 
@@ -151,6 +152,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, base: int = 9, id_col: st
     """
     if window < 1 or base < 1:
         raise ValueError("window and base must be at least 1")
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = R.text_bytes(texts, "text")
     parts = parts or R.part_count(total)

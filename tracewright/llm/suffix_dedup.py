@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
 from tracewright.llm import _rounds as R
+from tracewright.llm._links import bounded_batches
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -288,6 +289,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     """
     if not 1 <= length <= 16000:
         raise ValueError("length must be from 1 to 16000 bytes")
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = parts or R.part_count(R.text_bytes(texts, "text"))
     buckets = parts

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
-from tracewright.llm._links import checkpointed, small
+from tracewright.llm._links import bounded_batches, checkpointed, small
 
 #: Bytes of one block of vectors, and of one broadcast block of queries.
 BLOCK_BYTES, QUERY_BYTES = 2 << 20, 16 << 20
@@ -285,6 +285,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, slices: int = 4, i
     if k < 1 or slices < 1:
         raise ValueError("k and slices must be at least 1")
     spark = vectors.sparkSession
+    bounded_batches(spark)
     vecs = checkpointed(whole_numbers(vectors, id_col, vector_col))
     asked = whole_numbers(queries, id_col, vector_col).dropDuplicates(["vec_id", "data"])
     asked = checkpointed(asked)

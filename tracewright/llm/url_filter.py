@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
-from tracewright.llm._links import checkpointed
+from tracewright.llm._links import bounded_batches, checkpointed
 
 #: Longest context, in bytes; it and a character fit in 64 bits.
 ORDER = 5
@@ -186,6 +186,7 @@ def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = (), rejected: Colu
     Repeated rows are judged each. Other columns are ignored, whatever their names, but by
     `rejected`. An empty table gives no rows.
     """
+    bounded_batches(pages.sparkSession)
     url = F.col(url_col).cast("string")
     label = rejected if rejected is not None else F.coalesce(listed_host(url), F.lit(False))
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), label.alias("rejected"))
