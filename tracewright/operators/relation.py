@@ -156,6 +156,11 @@ def whole(axis: Axis, first: int = 1, last: int | None = None) -> Rel:
     return Rel((), spark.range(1 if first <= last else 0).select(F.lit(first).cast("long").alias("f"), F.lit(last).cast("long").alias("t")), flat=True)
 
 
+def everywhere(axis: Axis) -> Rel:
+    """No variables; every position as a point, with its time."""
+    return Rel((), axis.positions.select(F.col("pos").alias("f"), F.col("pos").alias("t"), F.col("ts").alias("s")), True)
+
+
 def runs(rel: Rel, axis: Axis) -> Rel:
     """The same relation with maximal ranges."""
     if rel.flat:

@@ -28,6 +28,18 @@ KEPT = 1 << 14
 SPARK = {"String": T.StringType(), "Int": T.LongType(), "Real": T.DoubleType(), "Bool": T.BooleanType()}
 
 
+def kept(make):
+    """The function that make() gives; pure, so a worker keeps what it has computed."""
+    loaded: dict = {}
+
+    def run(*values):
+        if "f" not in loaded:
+            loaded["f"] = lru_cache(KEPT)(make())
+        return loaded["f"](*values)
+
+    return run
+
+
 class NotMonitorable(ValueError):
     """The property constrains values that no fact binds."""
 
@@ -136,13 +148,7 @@ class Compiler:
 
     def call(self, name: str, args: tuple) -> Column:
         fn = self.functions[name]
-        loaded: dict = {}
-
-        def run(*values):
-            if "f" not in loaded:  # functions are pure: a worker keeps what it has computed
-                loaded["f"] = lru_cache(KEPT)(fn.callable())
-            return loaded["f"](*values)
-
+        run = kept(fn.callable)
         given = [self.term(a).cast(SPARK[s]) for a, s in zip(args, fn.args, strict=True)]
         return F.udf(run, SPARK[fn.result], useArrow=True)(*given)
 
@@ -157,11 +163,10 @@ class Compiler:
                 return simple
             parts, holes = segments(atom.pattern, atom.slashed), [h for h, _ in atom.holes]
 
-            @lru_cache(KEPT)
             def fits(subject, *given):
                 return bool(decompose(parts, subject, dict(zip(holes, given, strict=True))))
 
-            return F.udf(fits, T.BooleanType(), useArrow=True)(self.term(atom.subject), *(self.term(t) for _, t in atom.holes))
+            return F.udf(kept(lambda: fits), T.BooleanType(), useArrow=True)(self.term(atom.subject), *(self.term(t) for _, t in atom.holes))
         return self.call(atom.name, atom.args)
 
     def plain_match(self, atom) -> Column | None:
@@ -200,12 +205,11 @@ class Compiler:
         bound = [h for h, t in holes if term_vars(t) <= known]
         new = [(h, t) for h, t in holes if h not in bound]
 
-        @lru_cache(KEPT)
         def every(subject, *given):
             fixed = dict(zip(bound, given, strict=True))
             return [[d[h] for h, _ in new] for d in decompose(parts, subject, fixed)]
 
-        call = F.udf(every, T.ArrayType(T.ArrayType(T.StringType())), useArrow=False)
+        call = F.udf(kept(lambda: every), T.ArrayType(T.ArrayType(T.StringType())), useArrow=True)
         df = guard.df.withColumn("_d", F.explode(call(self.term(atom.subject), *(self.term(t) for h, t in holes if h in bound))))
         for k, (_, t) in enumerate(new):
             df = df.withColumn(col(t.name), F.get("_d", F.lit(k)))
@@ -265,6 +269,8 @@ class Compiler:
                 return Rel((), self.trace.spark.createDataFrame([], "f long, t long"), True)
             return reduce(R.union, parts)
         if isinstance(v, All):
+            if v.parts and all(isinstance(q, Within) and not variables(q) for q in (p.value if isinstance(p, Neg) else p for p in v.parts)):
+                return self.restrict(R.everywhere(self.axis), v, given, loose)  # asked at every position
             guards = [p for p in v.parts if isinstance(p, Lit) and not isinstance(p, Within)] or [p for p in v.parts if isinstance(p, Lit)]
             rest = [p for p in v.parts if not any(p is g for g in guards)]
             if not guards:

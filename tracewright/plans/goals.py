@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import functions as F
-
 from tracewright.operators import relation as R
 from tracewright.plans.analysis import has_future
 from tracewright.plans.compiler import Compiler, NotMonitorable, negated
@@ -49,14 +47,11 @@ class Goals:
         given = isinstance(body, Logic) and body.op == "->"
         if given and has_future(body.left):
             raise NotMonitorable(f"property {name}: the guard asks for the future")
-        self.guard = self.points(body.left, None) if given else self.everywhere()
+        self.guard = self.points(body.left, None) if given else R.everywhere(self.axis)
         if outer and not {q.var for q in outer} <= set(self.guard.vars):
             raise NotMonitorable(f"property {name}: the guard does not bind all variables")
         self.goals = [_goal(f) for f in _conjuncts(body.right if given else body)]
 
-    def everywhere(self) -> R.Rel:
-        return R.Rel((), self.trace.positions.select(F.col("pos").alias("f"), F.col("pos").alias("t"), F.col("ts").alias("s")), True)
-
     def points(self, f, among: R.Rel | None, denied: bool = False) -> R.Rel:
         """The points where a formula holds (denied: fails), for bindings among the guard's."""
         value = self.compiler.evaluate(f, {})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.pyfuncs import load_functions
 from tracewright.operators import relation as R
 from tracewright.plans import analysis
-from tracewright.plans.compiler import Compiler, NotMonitorable, negated, variables
+from tracewright.plans.compiler import All, Any, Compiler, Lit, NotMonitorable, Within, negated, variables
 from tracewright.plans.formula import Quant, Spec
 from tracewright.plans.parser import SpecError, parse_spec
 from tracewright.sources.trace import Trace
@@ -51,10 +51,10 @@ class Monitor:
         value = negated(compiler.evaluate(self.formulas[name], {}))
         for x in sorted(variables(value)):  # an open property holds if some value satisfies it
             value = negated(compiler.exists(negated(value), x, {}))
-        rel = compiler.finite(value, {}, loose=True)
+        anchored = self.spec.properties[name].anchored if first_only is None else first_only
+        rel = compiler.finite(at_first(value) if anchored else value, {}, loose=True)
         if rel is None:
             raise NotMonitorable(f"property {name} has a variable that no fact binds")
-        anchored = self.spec.properties[name].anchored if first_only is None else first_only
         return R.clip(rel, 1, 1) if anchored else rel
 
     def violations(self, name: str, trace: Trace) -> DataFrame:
@@ -96,6 +96,13 @@ class Monitor:
         return trace.spark.createDataFrame([], VERDICTS) if out is None else out
 
 
+def at_first(value):
+    """A value whose guards' points are cut to position 1, before anything is asked at them."""
+    if isinstance(value, (All, Any)):
+        return type(value)(tuple(at_first(p) for p in value.parts))
+    return Lit(R.clip(value.rel, 1, 1)) if isinstance(value, Lit) and not isinstance(value, Within) and value.rel.points else value
+
+
 def quantified(f) -> tuple[list[Quant], object]:
     """The leading quantifiers, and what they stand before."""
     outer = []
