@@ -291,28 +291,29 @@ class Witness:
     breaks: Rel | None = None
 
 
-def _stamped(rel: Rel, axis: Axis, asked: Witness) -> DataFrame:
-    """A point relation's rows with their times in s, which are null where the question has no time bound."""
-    if asked.low == 0 and asked.high is None:
+def _stamped(rel: Rel, axis: Axis, needed: bool) -> DataFrame:
+    """A point relation's rows with their times in s, or with nulls there where no time is needed."""
+    if not needed:
         return rel.df if rel.stamp else rel.df.withColumn("s", F.lit(None).cast("long"))
     axis.timed()
     return rel.df if rel.stamp else axis.at(rel.df, "f", "s")
 
 
-def newest(guard: Rel, asked: Witness, axis: Axis) -> DataFrame:
+def newest(guard: Rel, asked: Witness, axis: Axis, times: bool = False) -> DataFrame:
     """The guard's rows with their place and time _o, _s, and _w, _ws of the newest witness that is old enough; _e: where the last break so far ends.
 
-    Places and times are negative where the future is asked; without a bound, times are null.
-    One scan a key finds all.
+    Places and times are negative where the future is asked; without a bound, times are null
+    unless they are asked for. One scan a key finds all.
     """
     sign = -1 if asked.future else 1
     mine, breaks = asked.points, asked.breaks
-    now, then = (_stamped(rel, axis, asked) for rel in (guard, mine))
+    needed = times or asked.low != 0 or asked.high is not None
+    now, then = (_stamped(rel, axis, needed) for rel in (guard, mine))
     ask = now.select(*guard.df.columns, (F.col("f") * sign).alias("_o"), (F.col("s") * sign).alias("_s"), F.lit(2).alias("_k"))
     tell = then.select(*mine.keys, (F.col("f") * sign).alias("_o"), (F.col("s") * sign).alias("_s"), F.lit(3 if asked.strict else 1).alias("_k"))
     told = F.col("_k") != 2
     places = (1, axis.n) if sign > 0 else (-axis.n, -1)
-    times = (axis.first or 0, axis.last or 0) if sign > 0 else (-(axis.last or 0), -(axis.first or 0))
+    span = (axis.first or 0, axis.last or 0) if sign > 0 else (-(axis.last or 0), -(axis.first or 0))
     witness = told & (F.col("_k") > 0)
     found = {"_w": ("max", F.when(witness, F.col("_o")), True), "_ws": ("max", F.when(witness, F.col("_s")), True)}
     last = {"_e": ("max", F.when(F.col("_k") == 0, F.col("_end")), True)}
@@ -330,7 +331,7 @@ def newest(guard: Rel, asked: Witness, axis: Axis) -> DataFrame:
         both = both.withColumn("_q", F.when(told, F.col("_s")).otherwise(F.col("_s") - low))
         # nothing at the same time as what is asked for counts as later, but with a bound of 0 what lies behind
         tie = F.struct(F.when(~told & (low > 0), F.lit(2**62)).otherwise(F.col("_o")).alias("a"), F.col("_k").alias("b"))
-        both = running(both, mine.keys, "_q", tie.asc(), times, found, n=axis.n).drop("_q")
+        both = running(both, mine.keys, "_q", tie.asc(), span, found, n=axis.n).drop("_q")
         if together:
             both = running(both, mine.keys, "_o", F.col("_k").asc(), places, last)
     got = both.where(~told)
@@ -359,7 +360,7 @@ def within(guard: Rel, asked: Witness, axis: Axis, fails: bool = False) -> Rel:
 
 def oldest(guard: Rel, asked: Witness, axis: Axis) -> DataFrame:
     """As newest(), but _w and _ws are of the oldest witness within the upper bound and behind the last break; null if there is none. low is 0."""
-    got = newest(guard, replace(asked, low=0), axis).drop("_w", "_ws")
+    got = newest(guard, replace(asked, low=0), axis, times=True).drop("_w", "_ws")
     sign = -1 if asked.future else 1
     mine = asked.points
     then = mine.df if mine.stamp else axis.at(mine.df, "f", "s")

@@ -44,7 +44,7 @@ def _own(goals: Goals, goal: Goal, guard: R.Rel) -> Threshold:
         raise NotMonitorable(f"property {goals.name}: no parameter can be found in {f.op}")
     upper, low, high = _bounds(f)
     asked = goals.asked(goal, low, high)
-    got = R.newest(guard, asked, goals.axis) if upper else R.oldest(guard, asked, goals.axis)
+    got = R.newest(guard, asked, goals.axis, times=True) if upper else R.oldest(guard, asked, goals.axis)
     found = R.unbroken(asked) if upper else F.col("_w").isNotNull()
     d = F.when(found, F.col("_s") - F.col("_ws"))
     # a witness wants the parameter to reach it, a counterexample wants it not to
