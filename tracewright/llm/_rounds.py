@@ -85,8 +85,8 @@ def bits(got: dict[tuple[int, int], bytes], level: int, bucket: np.ndarray, plan
 
 
 def ask(sent: DataFrame, buckets: int, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """Each bucket's answers to the parts."""
-    return sent.repartition(tasks(buckets), "bucket").groupBy("bucket").applyInArrow(answer, MESSAGE)
+    """Each bucket's answers to the parts; a shuffle partition for each bucket, as long as there are not too many."""
+    return sent.repartition(min(MOST_TASKS, max(12, buckets)), "bucket").groupBy("bucket").applyInArrow(answer, MESSAGE)
 
 
 def hear(texts: DataFrame, heard: list[DataFrame], parts: int, act: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
