@@ -65,3 +65,43 @@ def test_numbers_of_batches(spark):
     for n in (1, 2, 7):
         out = line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), batches=n, fanout=2).collect()
         assert sorted((r.doc_id, r.n_lines, r.n_dropped, brute.sha(r.kept_text)) for r in out) == want
+
+
+def noted(monkeypatch):
+    """For each batch that is added from now on its plan, and the rows that the plan's joins make."""
+    plans, write = [], LineRuns._write
+
+    def noting(self, rows, level, instead_of):
+        if not instead_of:
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            plans.append((plan, len(re.findall("Join", plan)) * rows.count()))
+        write(self, rows, level, instead_of)
+
+    monkeypatch.setattr(LineRuns, "_write", noting)
+    return plans
+
+
+def test_one_join_a_batch(spark, tmp_path, monkeypatch):
+    """A batch is joined once, however many runs there are, and no run is exchanged; a folder that the manifest does not name is no run."""
+    folder, plans = str(tmp_path / "runs"), noted(monkeypatch)
+    runs = LineRuns(spark, folder, fanout=9, buckets=4)
+    for k in range(4):
+        runs.add(batch(spark, [(f"l{i}", i + 1000 * k) for i in range(0, 300, k + 1)]))
+    assert [len(re.findall("Join", p)) for p, _ in plans] == [0, 1, 1, 1]
+    assert len({len(re.findall("Exchange", p)) for p, _ in plans}) == 1  # the first has no runs
+    runs.written += 1  # a session that ended before its manifest was written
+    spark.sql("SELECT X'00' AS h, 1L AS n_docs, 1L AS keeper").write.parquet(f"{folder}/run-4")
+    runs.add(batch(spark, [("\0", 7), ("l0", 8)]))
+    got = rows_of(runs)
+    assert got[b"\0"] == (1, 7) and got[b"l0"] == (5, 0) and got[b"l6"] == (3, 6) and len(got) == 301
+    runs.close(delete=True)
+
+
+def test_joins_grow_with_lines(spark, monkeypatch):
+    """The joins of batches with runs make no more rows than there are lines, with many batches, too."""
+    docs = [(k, "\n".join(f"this is line number {k} {i} of its own" for i in range(4))) for k in range(400)]
+    frame, plans = spark.createDataFrame(docs, "doc_id long, text string"), noted(monkeypatch)
+    for n in (2, 5, 9):
+        plans.clear()
+        assert line_dedup(frame, batches=n).where("n_dropped > 0").isEmpty()
+        assert len(plans) == n and 0 < sum(made for _, made in plans) <= 1600

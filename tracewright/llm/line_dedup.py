@@ -2,8 +2,8 @@
 
 Lines come in batches. A run is a table bucketed and sorted by line hash: how many documents
 of its batches hold the line, and, if no earlier run has it, the document that keeps it. A
-batch is reduced to one row a line and merge-anti-joined with every run, bucket by bucket and
-without an exchange of the runs, to find the lines that are new; these name their keeper, the
+batch is reduced to one row a line and merge-anti-joined with all runs at once, bucket by bucket
+and without an exchange of the runs, to find the lines that are new; these name their keeper, the
 others only add to the count. The batch becomes a run of level 0; once a level has `fanout`
 runs they are compacted into one of the next level. Merged, the runs give each line's number
 of documents and its keeper. A manifest beside the runs lets a later session add to them.
@@ -12,7 +12,8 @@ of documents and its keeper. A manifest beside the runs lets a later session add
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,21 @@ class LineRuns:
     def runs(self) -> list[DataFrame]:
         return [self._table(run) for run in sorted(self.levels)]
 
+    @contextmanager
+    def _seen(self) -> Iterator[DataFrame]:
+        """(h) of every line of the runs, once each: one run alone names a line's keeper.
+
+        The runs are partitions of one table, so a task reads a bucket of all of them and nothing is exchanged.
+        """
+        name = f"line_runs_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} (h BINARY, n_docs BIGINT, keeper BIGINT, run INT) USING parquet PARTITIONED BY (run) CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.folder}'")
+        try:
+            parts = " ".join(f"PARTITION (run = {run}) LOCATION '{self.folder}/run-{run}'" for run in sorted(self.levels))
+            self.spark.sql(f"ALTER TABLE {name} ADD {parts}")
+            yield self.spark.table(name).where("keeper IS NOT NULL").select("h")
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def _write(self, rows: DataFrame, level: int, instead_of: list[int]) -> None:
         """Writes a run; the manifest takes it up, and drops those that it replaces, in one step."""
         run, name = self.written, f"line_run_{uuid.uuid4().hex}"
@@ -80,7 +96,8 @@ class LineRuns:
         self.levels[run] = level
         for old in instead_of:
             del self.levels[old]
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(old)}")
+            if old in self.tables:  # an opened folder's runs have names only where runs() was asked
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(old)}")
             remove(self.spark, f"{self.folder}/run-{old}")
 
     def _merged(self, runs: list[int]) -> DataFrame:
@@ -95,13 +112,13 @@ class LineRuns:
         doc; so documents with larger ids go first where the largest of all is to keep a line.
         """
         batch = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keeper"))
-        marks = []
-        for k, run in enumerate(self.runs()):
-            # a left merge join that marks the lines the run has: what it lacks is the anti-join
-            batch = batch.join(run.select("h", F.lit(True).alias(f"_seen{k}")), "h", "left")
-            marks.append(F.col(f"_seen{k}").isNull())
-        new = reduce(lambda a, b: a & b, marks, F.lit(True))
-        self._write(batch.select("h", "n_docs", F.when(new, F.col("keeper")).alias("keeper")), 0, [])
+        if self.levels:
+            with self._seen() as seen:
+                # a left merge join that marks the lines the runs have, one row a line: what they lack is the anti-join
+                marked = batch.join(seen.withColumn("_seen", F.lit(True)), "h", "left")
+                self._write(marked.select("h", "n_docs", F.when(F.col("_seen").isNull(), F.col("keeper")).alias("keeper")), 0, [])
+        else:
+            self._write(batch, 0, [])
         level = 0
         while len(same := [run for run, at in self.levels.items() if at == level]) >= self.fanout:
             self._write(self._merged(same), level + 1, same)
@@ -149,7 +166,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     keys = keys.where(F.char_length(F.trim("line", F.lit(BLANK))) >= min_chars)
     keys = checkpointed(keys.select("doc", "body", "place", F.unhex(F.md5(line_key(F.col("line")))).alias("h")))
     batches = batches or batches_for(keys.count())
-    cuts = keys.select("doc").distinct().select(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
+    # the largest ids go first; each further batch is as large as all before it, so what a batch reads of the runs grows with it
+    parts = [1 - 0.5**k for k in range(1, batches)]
+    cuts = keys.select("doc").distinct().select(F.percentile_approx("doc", parts, 10_000)).first()[0] or [] if batches > 1 else []
     runs = LineRuns(spark, table_folder(spark, "line-runs"), fanout)
     edges = [None, *sorted(set(cuts)), None]
     for low, high in list(zip(edges, edges[1:], strict=False))[::-1]:
